@@ -56,14 +56,10 @@ def drop(*tables: DataFrame | None) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def size_of(df: DataFrame) -> int:
-    """Spark's estimate of the bytes of ``df`` (for files: their size)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def blocks_of(df: DataFrame, each: int) -> int:
-    """Number of blocks of about ``each`` bytes; follows the input, 4 at least."""
-    return max(4, -(-size_of(df) // each))
+def blocks_of(docs: DataFrame, text: str, each: int) -> int:
+    """Number of blocks of about ``each`` bytes of text; follows the input, 4 at least. One cheap pass measures it."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(4, -(-int(size) // each))
 
 
 def words_in(text: Column) -> Column:
