@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, mixing, secrets, substring_dedup, token_counts
+from . import lm_scoring, media, mixing, secrets, substring_dedup, token_counts
 from ._work import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,22 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = media.load(media.store(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media"))
+    size = lambda c: F.octet_length(c).cast("long")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        size("payload").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        size("media").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string"), F.lit("3"), F.md5("tensor")).alias("feature"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -43,7 +59,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_lm_scoring, op4_token_counts, op5_mixing, op7_substring_dedup, op9_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_lm_scoring, op4_token_counts, op5_mixing, op7_substring_dedup, op8_media, op9_secret_scan)}
 
 #: Mixing in DuckDB: the same running sums over sources, and the same MD5 draw.
 SQL = {
