@@ -55,6 +55,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: ASCII letters in lower case and digits; other ASCII is white space; bytes of longer characters stay.
+PLAIN = _LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 _CHARS, _WORDS, _WORDS2 = _Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F), _Powers(0xE7037ED1A0B428DB)
 
 
@@ -66,9 +69,13 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def word_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: (bytes, start, end, first word of each text and one past the last)."""
+def word_ranges(texts: pa.Array, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+``: (bytes, start, end, first word of each text and one past the last).
+
+    ``letters`` maps each byte first, for instance to leave punctuation out."""
     offsets, data = buffer_of(texts)
+    if letters is not None:
+        data = letters[data]
     n = len(data)
     if not n:
         return data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -84,9 +91,9 @@ def word_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, first word of each text and one past the last)."""
-    data, starts, ends, firsts = word_ranges(texts)
+    data, starts, ends, firsts = word_ranges(texts, letters)
     out = np.empty(len(starts), _U)
     at = 0
     while at < len(starts):
