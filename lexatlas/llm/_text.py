@@ -94,6 +94,20 @@ def word_ranges(texts: pa.Array, letters: np.ndarray | None = None) -> tuple[np.
 def word_hashes(texts: pa.Array, lower: bool, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word, first word of each text and one past the last)."""
     data, starts, ends, firsts = word_ranges(texts, letters)
+    return _ranges_hash(data, starts, ends, lower), firsts
+
+
+def prefix_hashes(texts: pa.Array, sizes: tuple[int, ...], letters: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(hash of each word, per size (which words are longer, hashes of their first so many bytes), first word of each text)."""
+    data, starts, ends, firsts = word_ranges(texts, letters)
+    out = []
+    for size in sizes:
+        longer = np.flatnonzero(ends - starts > size)
+        out.append((longer, mix(_ranges_hash(data, starts[longer], starts[longer] + size, False) + _U(size))))
+    return _ranges_hash(data, starts, ends, False), out, firsts
+
+
+def _ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     out = np.empty(len(starts), _U)
     at = 0
     while at < len(starts):
@@ -108,7 +122,7 @@ def word_hashes(texts: pa.Array, lower: bool, letters: np.ndarray | None = None)
         s, e = starts[at:to] - low, ends[at:to] - low
         out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(_U) * _U(_ODD))
         at = to
-    return out, firsts
+    return out
 
 
 def run_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:
