@@ -77,12 +77,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: s
             at, h = anchors(words, firsts, window)
             row = np.searchsorted(firsts, at, "right") - 1
             ck = b.column("ck").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(ck[row]), pa.array((at - firsts[row]).astype(np.int32))], ["h", "ck", "pos"])
-
-    found = saved(ids.select("t", "ck").mapInArrow(emit, "h long, ck long, pos int"), "repeats-anchors")
-    twice = found.groupBy("h").agg(F.min("ck").alias("a"), F.max("ck").alias("b")).where("a < b").select("h")
-    alive = saved(found.join(twice, "h").groupBy("ck").agg(F.collect_set("pos").alias("at")).join(first, "ck"), "repeats-alive")
-    drop(found)
+            # one row for all places of an anchor in a text
+            order = np.lexsort((at, h, row))
+            at, h, row = at[order], h[order], row[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(at) else at
+            places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - firsts[row]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[new])), pa.array(ck[row[new]]), places], ["h", "ck", "places"])
+
+    found = saved(ids.select("t", "ck").mapInArrow(emit, "h long, ck long, places array<int>"), "repeats-anchors")
+    # written, so that the joins with what is looked up can be split where a key is hot
+    twice = saved(found.groupBy("h").agg(F.min("ck").alias("a"), F.max("ck").alias("b")).where("a < b").select("h"), "repeats-twice")
+    alive = saved(found.join(twice, "h").groupBy("ck").agg(F.flatten(F.collect_set("places")).alias("at")).join(first, "ck"), "repeats-alive")
+    drop(found, twice)
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t", 1 << 20):
@@ -104,10 +110,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, text: str = "text", key: s
 
     once = ids.join(alive, (ids["ck"] == alive["ck"]) & (ids["id"] == alive["rep"])).select("t", alive["ck"], "rep", "at")
     wide = saved(once.mapInArrow(widen, "h long, h2 int, id long, ck long, pos int"), "repeats-windows")
-    owner = wide.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "h2", "least")
+    owner = saved(wide.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "h2", "least"), "repeats-owner")
     flagged = wide.join(owner, ["h", "h2"]).where("id > least").groupBy("ck").agg(F.collect_set("pos").alias("starts"))
     marks = saved(first.join(flagged, "ck", "left"), "repeats-marks")
-    drop(first, alive, wide)
+    drop(first, alive, wide, owner)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
