@@ -19,12 +19,12 @@ from ._text import slices
 from ._work import saved
 
 #: Bytes of text per block.
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 12 << 20
 #: Items gathered before a block's counts are shipped; a larger block ships more runs.
-MOST_ITEMS = 8_000_000
+MOST_ITEMS = 6_000_000
 
 RUNS = "part long, block long, items binary, counts binary"
-ANSWERS = "block long, items binary, totals binary, seen long, kinds long, once long, twice long"
+ANSWERS = "block long, part long, places binary, totals binary, seen long, kinds long, once long, twice long"
 
 
 def with_block(docs: DataFrame, key: Column, blocks: int) -> DataFrame:
@@ -32,6 +32,31 @@ def with_block(docs: DataFrame, key: Column, blocks: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.hash(key), F.lit(blocks)).cast("long")).repartition(blocks, key)
 
 
+def packed(x: np.ndarray, climbing: bool = False) -> bytes:
+    """Whole numbers as bytes that compress: differences where they climb, then all lowest bytes first, all next, ..."""
+    x = x.astype(np.uint64)
+    if climbing:
+        x = np.diff(x, prepend=np.uint64(0))
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, climbing: bool = False) -> np.ndarray:
+    x = np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.cumsum(x, dtype=np.uint64) if climbing else x
+
+
+def placed(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct items in order, sum of each one's weights, where each item stands among the distinct ones)."""
+    order = np.argsort(items)
+    items = items[order]
+    new = np.ones(len(items), bool)
+    new[1:] = items[1:] != items[:-1]
+    starts = np.flatnonzero(new)
+    place = np.empty(len(items), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return items[starts], np.add.reduceat(weights[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64), place
+
+
 def tally(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct items in order, sum of each one's weights)."""
     if not len(items):
@@ -42,18 +67,22 @@ def tally(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return items[starts], np.add.reduceat(weights[order].astype(np.int64), starts)
 
 
+def _part(items: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hash range that each item falls in."""
+    return (items >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
 def runs(block: int, items: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
     """A block's tally cut into one run per part of the hash range."""
-    part = (items >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    part = _part(items, parts)
     edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(edges))
-    small = counts.astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(full.astype(np.int64)),
             pa.array(np.full(len(full), block, np.int64)),
-            pa.array([items[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary()),
-            pa.array([small[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary()),
+            pa.array([packed(items[edges[i] : edges[i + 1]], True) for i in full], pa.binary()),
+            pa.array([packed(counts[edges[i] : edges[i + 1]]) for i in full], pa.binary()),
         ],
         ["part", "block", "items", "counts"],
     )
@@ -85,17 +114,16 @@ def count_blocks(dealt: DataFrame, text: str, items_of: Callable[[pa.RecordBatch
 def answers(shipped: DataFrame, name: str) -> DataFrame:
     """For each block the items whose total differs from its own count, with the totals; written in the shared folder.
 
-    Rows with a null block carry statistics: for items of kind ``kinds`` (their lowest bit), ``seen`` is the sum of
-    totals, ``once`` and ``twice`` the numbers of items with that total, ``totals`` is null and ``items`` is null; their
-    number of distinct items with a total above 0 is in ``block``'s stead in :func:`statistics`.
+    Rows with a block below 0 carry statistics: for items of kind ``kinds`` (their lowest bit), ``seen`` is the sum of
+    totals, ``once`` and ``twice`` the numbers of items with that total, and -1 - block the number with any.
     """
 
     def add(t: pa.Table) -> pa.Table:
         block = t.column("block").to_numpy()
-        lists = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("items")]
+        lists = [unpacked(x.as_py(), True) for x in t.column("items")]
         n = [len(x) for x in lists]
         items = np.concatenate(lists)
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in t.column("counts")]).astype(np.int64)
+        counts = np.concatenate([unpacked(x.as_py()) for x in t.column("counts")]).astype(np.int64)
         owner = np.repeat(block, n)
         order = np.lexsort((owner, items))
         items, owner, counts = items[order], owner[order], counts[order]
@@ -106,17 +134,22 @@ def answers(shipped: DataFrame, name: str) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
         sums = np.add.reduceat(counts, first)
         total = np.repeat(sums, np.diff(np.append(first, len(items))))
-        more = total > counts
-        o = np.argsort(owner[more], kind="stable")
-        who, what, how = owner[more][o], items[more][o], total[more][o]
+        # by block, an item's place among the block's own distinct items of this part: the block finds it there again
+        o = np.argsort(owner, kind="stable")
+        who = owner[o]
         to, starts = np.unique(who, return_index=True)
-        ends = np.append(starts[1:], len(who))
-        rows = [{"block": int(k), "items": what[s:e].tobytes(), "totals": how[s:e].tobytes(), "seen": None, "kinds": None, "once": None, "twice": None} for k, s, e in zip(to, starts, ends, strict=True)]
+        place = np.arange(len(who)) - np.repeat(starts, np.diff(np.append(starts, len(who))))
+        more = (total > counts)[o]
+        who, place, how = who[more], place[more], total[o][more]
+        edges = np.searchsorted(who, to), np.searchsorted(who, to, "right")
+        part = t.column("part")[0].as_py()
+        none = {"part": None, "places": None, "totals": None, "seen": None, "kinds": None, "once": None, "twice": None}
+        rows = [none | {"block": int(k), "part": part, "places": packed(place[s:e], True), "totals": packed(how[s:e])} for k, s, e in zip(to, *edges, strict=True) if e > s]
         kind = items[first] & np.uint64(1)
         for k in (0, 1):
             s = sums[kind == k]
-            rows.append({"block": -1 - int((s > 0).sum()), "items": None, "totals": None, "seen": int(s.sum()), "kinds": k, "once": int((s == 1).sum()), "twice": int((s == 2).sum())})
-        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("items", pa.binary()), ("totals", pa.binary()), ("seen", pa.int64()), ("kinds", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())]))
+            rows.append(none | {"block": -1 - int((s > 0).sum()), "seen": int(s.sum()), "kinds": k, "once": int((s == 1).sum()), "twice": int((s == 2).sum())})
+        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("part", pa.int64()), ("places", pa.binary()), ("totals", pa.binary()), ("seen", pa.int64()), ("kinds", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())]))
 
     return saved(shipped.groupBy("part").applyInArrow(add, ANSWERS), name)
 
@@ -127,11 +160,10 @@ def statistics(answered: DataFrame, kind: int) -> tuple[int, int, int, int]:
     return tuple(int(x or 0) for x in r)
 
 
-def known(answer: pa.Table, items: np.ndarray, own: np.ndarray) -> np.ndarray:
+def known(answer: pa.Table, items: np.ndarray, own: np.ndarray, parts: int) -> np.ndarray:
     """Totals of a block's distinct ``items`` (in order): the answered ones, else the block's own counts."""
     total = own.astype(np.int64).copy()
-    if answer.num_rows and len(items):
-        got = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answer.column("items")])
-        how = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in answer.column("totals")])
-        total[np.searchsorted(items, got)] = how
+    part = _part(items, parts)
+    for k, places, how in zip(answer.column("part").to_pylist(), answer.column("places"), answer.column("totals"), strict=True):
+        total[np.searchsorted(part, np.uint64(k)) + unpacked(places.as_py(), True).astype(np.int64)] = unpacked(how.as_py())
     return total

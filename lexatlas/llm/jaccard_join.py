@@ -163,7 +163,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
         batches = list(slices(iter(own.combine_chunks().to_batches()), "t"))
         flat = [shingle_sets(b.column("t").unique(), words)[1] & ~_U(1) for b in batches]
         items, counts = tally(np.concatenate(flat or [np.zeros(0, _U)]), np.ones(sum(map(len, flat)), np.int32))
-        totals = known(answer, items, counts)
+        totals = known(answer, items, counts, blocks)
         seen: set[int] = set()
         for b in batches:
             coded = b.column("t").dictionary_encode()
@@ -211,7 +211,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
         schema = pa.schema([("what", pa.int32()), ("key", own.schema.field("key").type), ("node", pa.int64()), ("n", pa.int64()), ("item", pa.int64()), ("items", pa.binary()), *[(f"k{i}", pa.int64()) for i in range(SKETCH)]])
         return pa.Table.from_batches(out, schema)
 
-    back = answered.where("block >= 0").select("block", "items", "totals")
+    back = answered.where("block >= 0").select("block", "part", "places", "totals")
     sketch = ", ".join(f"k{i} long" for i in range(SKETCH))
     made = saved(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(list_block, f"what int, key {kind}, node long, n long, item long, items binary, {sketch}"), "jaccard-lists")
     drop(answered)

@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._counts import BLOCK_BYTES, answers, count_blocks, known, statistics, tally, with_block
+from ._counts import BLOCK_BYTES, answers, count_blocks, known, placed, statistics, with_block
 from ._text import mix, slices, word_hashes
-from ._work import blocks_of, drop
+from ._work import blocks_of
 
 _U = np.uint64
 #: The hash of the end of a text, which is also the context of its first word.
@@ -57,13 +57,12 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Automaton:
-    """Arcs sorted by key (state and word); per state the failure state and weight. State 0 is the root, which has an
+    """Arcs by key (state and word); per state the weight of its failure arc, which leads to the root. The root, state 0, has an
     arc for every word: ``word_weight`` and ``word_next`` by word, the last word being the unknown one."""
 
     keys: np.ndarray
     weights: np.ndarray
     nexts: np.ndarray
-    fail_state: np.ndarray
     fail_weight: np.ndarray
     word_weight: np.ndarray
     word_next: np.ndarray
@@ -71,42 +70,36 @@ class Automaton:
     def key(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         return state.astype(np.int64) * len(self.word_weight) + word
 
-    def traverse(self, words: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
-        """log10-probability of each text: all texts advance by one token at a time, each in its own state."""
+    def traverse(self, words: np.ndarray, arcs: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
+        """log10-probability of each text: all texts advance by one token at a time, each in its own state.
+
+        ``arcs`` says for each token which arc its pair with the token before would be; the arc is taken only when its
+        key is that of the state that the text is in, else the failure arc.
+        """
         sizes = np.diff(firsts)
         order = np.argsort(-sizes, kind="stable")
         sizes, at = sizes[order], firsts[:-1][order]
         score = np.zeros(len(sizes))
         state = np.full(len(sizes), start, np.int64)
-        active = len(sizes)
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            while active and sizes[active - 1] <= t:
-                active -= 1
-            w = words[at[:active] + t]
-            todo = np.arange(active)
-            while len(todo):
-                s, x = state[todo], w[todo]
-                if len(self.keys):
-                    k = self.key(s, x)
-                    i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-                    hit = (self.keys[i] == k) & (s > 0)
-                    score[todo[hit]] += self.weights[i[hit]]
-                    state[todo[hit]] = self.nexts[i[hit]]
-                else:
-                    hit = np.zeros(len(s), bool)
-                root = s == 0
-                score[todo[root]] += self.word_weight[x[root]]
-                state[todo[root]] = self.word_next[x[root]]
-                miss = ~hit & ~root
-                score[todo[miss]] += self.fail_weight[s[miss]]
-                state[todo[miss]] = self.fail_state[s[miss]]
-                todo = todo[miss]
+        # texts still on their way, for each step
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if len(sizes) else 0), "right")
+        for t, n in enumerate(active.tolist()):
+            w, s = words[at[:n] + t], state[:n]
+            if len(self.keys):
+                i = arcs[at[:n] + t]
+                hit = (self.keys[i] == self.key(s, w)) & (s > 0)
+                gain = np.where(hit, self.weights[i], self.fail_weight[s] + self.word_weight[w])
+                score[:n] += gain
+                state[:n] = np.where(hit, self.nexts[i], self.word_next[w])
+            else:
+                score[:n] += self.fail_weight[s] + self.word_weight[w]
+                state[:n] = self.word_next[w]
         out = np.empty(len(sizes))
         out[order] = score
         return out
 
 
-def automaton(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, first: np.ndarray, second: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, discount: float, prior: float) -> Automaton:
+def automaton(words: np.ndarray, counts: np.ndarray, first: np.ndarray, second: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, discount: float, prior: float) -> Automaton:
     """The part of the model that a block can reach. ``words`` are distinct; ``first`` and ``second`` index them by pair."""
     n = len(words)
     p = np.append(np.where(counts > 0, (counts - discount) / max(total, 1), 0.0), 0.0)
@@ -117,13 +110,13 @@ def automaton(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, first: n
         uni = np.log10(p)
     # a word with a count is a context: state 1 + its index; others lead back to the root
     following = np.append(np.where(counts > 0, np.arange(1, n + 1), 0), 0)
+    # pairs that only unlearnt texts have are no arcs: no state has their key
     seen = pair_counts > 0
-    a, b, c = first[seen], second[seen], pair_counts[seen]
-    weight = np.log10((c + prior * p[b]) / (counts[a] + prior))
-    keys = (a.astype(np.int64) + 1) * (n + 1) + b
-    order = np.argsort(keys)
-    fail = np.log10(prior / (np.append(0, counts) + prior))
-    return Automaton(keys[order], weight[order], following[b][order], np.zeros(n + 1, np.int64), fail, uni, following)
+    weight = np.log10(np.where(seen, pair_counts + prior * p[second], 1.0) / (counts[first] + prior))
+    keys = np.where(seen, (first.astype(np.int64) + 1) * (n + 1) + second, -1)
+    # every failure arc leads to the root: contexts here are one word long
+    fail = np.append(0.0, np.log10(prior / (counts + prior)))
+    return Automaton(keys, weight, following[second], fail, uni, following)
 
 
 def held_out(key: Column) -> Column:
@@ -163,25 +156,25 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
         firsts = np.concatenate([[0], np.cumsum(sizes)])
         out = pc.fill_null(own.column("out"), False).combine_chunks().to_numpy(zero_copy_only=False)
         learn = np.repeat(~out, sizes)
-        pair = _two(before, word)
-        items, counts = tally(np.concatenate([word, pair]), np.concatenate([learn, learn]))
-        totals = known(answer, items, counts)
-        single = items & _U(1) == 0
-        words, c = items[single], totals[single]
-        if not len(words) or END & ~_U(1) not in words:
-            words, c = np.append(words, END & ~_U(1)), np.append(c, 0)
-        pairs = items[~single]
-        some = np.empty(len(pairs), np.int64)  # a place where each pair stands
-        some[np.searchsorted(pairs, pair)] = np.arange(len(pair))
-        index = np.searchsorted(words, word)
-        a = np.searchsorted(words, before[some]) if len(pairs) else np.zeros(0, np.int64)
-        m = automaton(words, c, pairs, a, index[some] if len(pairs) else a, totals[~single], total, kinds, discount, prior)
-        begin = int(np.searchsorted(words, END & ~_U(1)))
-        result = m.traverse(index, firsts, int(m.word_next[begin]))
+        items, counts, place = placed(np.concatenate([word, _two(before, word)]), np.concatenate([learn, learn]))
+        totals = known(answer, items, counts, blocks)
+        double = items & _U(1) == 1
+        words, c, pair_counts = items[~double], totals[~double], totals[double]
+        rank = np.where(double, np.cumsum(double), np.cumsum(~double)) - 1
+        place = rank[place]
+        index, pair = place[: len(word)], place[len(word) :]
+        begin = int(np.searchsorted(words, END & ~_U(1)))  # every text has an end
+        previous = np.empty_like(index)
+        previous[1:] = index[:-1]
+        previous[firsts[:-1]] = begin
+        some = np.empty(len(pair_counts), np.int64)  # a place where each pair stands
+        some[pair] = np.arange(len(pair))
+        m = automaton(words, c, previous[some], index[some], pair_counts, total, kinds, discount, prior)
+        result = m.traverse(index, pair, firsts, int(m.word_next[begin]))
         per = c[index]
         base = np.log10((per + 1) / (total + kinds + 1))
         add = lambda x: np.add.reduceat(x, firsts[:-1]) if len(sizes) else x[:0]
         return pa.table([own.column("key"), pa.array(out), pa.array(sizes.astype(np.int64)), pa.array(add((per > 0).astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base)), pa.array(result)], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = answered.where("block >= 0").select("block", "items", "totals")
+    back = answered.where("block >= 0").select("block", "part", "places", "totals")
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(judge, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
