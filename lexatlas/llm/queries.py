@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, lm_scoring, media, mixing, quality, secrets, substring_dedup, token_counts
+from . import decontamination, jaccard_join, line_dedup, lm_scoring, media, mixing, quality, secrets, substring_dedup, token_counts
 from ._work import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,7 +74,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_lm_scoring, op4_token_counts, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_media, op9_secret_scan)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_lm_scoring, op4_token_counts, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_media, op9_secret_scan, op10_line_dedup)}
 
 #: Mixing in DuckDB: the same running sums over sources, and the same MD5 draw.
 SQL = {
