@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,11 @@ from pyspark.sql import types as T
 from ._text import slices
 
 #: Distinct words whose solution a worker keeps; older ones are solved again when they recur.
-KEEP = 800_000
+KEEP = 1_200_000
+#: Code points of the longest word that is kept (its counts fit in bytes); longer ones are solved where they stand.
+CACHED = 60
+#: Letters after which a word's state is kept for others.
+HEAD = 7
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _GAP = regex.compile(r"\s+")
@@ -62,10 +67,21 @@ class PrefixCounter:
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.vocab = set(model["vocab"])
         self.letter = _byte_alphabet()
-        self.longest = max(len(t) for t in self.vocab)
+        self.inner = self._lengths(t for t in self.vocab if not (self.end and t.endswith(self.end)))
+        self.final = self._lengths(t[: len(t) - len(self.end)] for t in self.vocab if t.endswith(self.end))
         self.stable: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.heads: dict[str, tuple[tuple[str, ...], bytes, bytes]] = {}
+
+    @staticmethod
+    def _lengths(tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """For the last three letters of tokens: the lengths of tokens that end so, longest first, then 2 and 1."""
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 2:
+                found.setdefault(t[-3:], set()).add(len(t))
+        return {k: (*sorted(v, reverse=True), 2, 1) for k, v in found.items()}
 
     def merged(self, parts: list[str]) -> list[str]:
         """Plain BPE of a short symbol sequence."""
@@ -90,46 +106,64 @@ class PrefixCounter:
         ok = self.stable[a, b] = self.merged([*a, *self.symbols(b)]) == ([a, b] if a else [b])
         return ok
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> bytes:
         """Token count of each prefix (in code points) of one pre-token, each prefix taken as a whole pre-token."""
         got = self.pieces.get(text)
-        if got is None:
-            if len(self.pieces) >= KEEP:
-                self.pieces.clear()
-            got = self._piece(text)
-            if len(text) <= 64:
-                self.pieces[text] = got
+        if got is not None:
+            return got
+        letter = self.letter
+        if text.isascii():
+            ends = self.solve("".join([letter[b] for b in text.encode()]))
+        else:
+            data, stops = [], []
+            for ch in text:
+                data += [letter[b] for b in ch.encode()]
+                stops.append(len(data) - 1)
+            ends = self.solve("".join(data))
+            ends = [ends[i] for i in stops]
+        if len(text) > CACHED:
+            return ends
+        if len(self.pieces) >= KEEP:
+            self.pieces.clear()
+        got = self.pieces[text] = bytes(ends)
         return got
 
-    def _piece(self, text: str) -> list[int]:
-        data: list[str] = []
-        stops: list[int] = []
-        for ch in text:
-            data += [self.letter[b] for b in ch.encode()]
-            stops.append(len(data))
-        word = "".join(data)
-        last: list[str] = [""]
-        count = [0]
-        out = []
-        stable, vocab, longest, end = self.stable, self.vocab, self.longest, self.end
-        for i in range(1, len(word) + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = word[j:i]
-                if t in vocab:
-                    ok = stable.get((last[j], t))
-                    if ok if ok is not None else self.compatible(last[j], t):
-                        last.append(t)
-                        count.append(count[j] + 1)
-                        break
-        for i in stops:
-            for j in range(i - longest if i > longest else 0, i):
-                t = word[j:i] + end
-                if t in vocab:
-                    ok = stable.get((last[j], t))
-                    if ok if ok is not None else self.compatible(last[j], t):
-                        out.append(count[j] + 1)
-                        break
-        return out
+    def solve(self, word: str) -> list[int]:
+        """The dynamic programme: tokens of word[:i] as a finished word, for each i. All depends on prefixes alone, so
+        the state after HEAD letters serves every word that begins alike."""
+        head = word[:HEAD]
+        known = self.heads.get(head) if len(word) > HEAD else None
+        if known:
+            last, count, ends = list(known[0]), list(known[1]), list(known[2])
+        else:
+            last, count, ends = [""], [0], []
+        stable, vocab, end, inner, final = self.stable, self.vocab, self.end, self.inner, self.final
+        for i in range(len(last), len(word) + 1):
+            tail = word[i - 3 : i] if i > 2 else ""
+            for n in inner.get(tail, (2, 1)):
+                j = i - n
+                if j >= 0:
+                    t = word[j:i]
+                    if t in vocab:
+                        ok = stable.get((last[j], t))
+                        if ok if ok is not None else self.compatible(last[j], t):
+                            last.append(t)
+                            count.append(count[j] + 1)
+                            break
+            for n in final.get(tail, (2, 1)):
+                j = i - n
+                if j >= 0:
+                    t = word[j:i] + end
+                    if t in vocab:
+                        ok = stable.get((last[j], t))
+                        if ok if ok is not None else self.compatible(last[j], t):
+                            ends.append(count[j] + 1)
+                            break
+            if i == HEAD and len(word) > HEAD:
+                if len(self.heads) >= KEEP // 2:
+                    self.heads.clear()
+                self.heads[head] = (tuple(last), bytes(count), bytes(ends))
+        return ends
 
     def plain(self, text: str) -> list[int]:
         """Prefix counts of normalised text without white space."""
@@ -144,27 +178,28 @@ class PrefixCounter:
                     own.append(sum(self.piece(q.group())[-1] for q in _PIECE.finditer(p[:i])))
             else:
                 own = self.piece(p)
-            out += [base + c for c in own]
+            out += [base + c for c in own] if base else own
             base = out[-1]
         return out
 
-    def chunk(self, text: str) -> bytes:
-        """Prefix counts (int32, one per code point) of a text without white space or special strings, as it stands in a document."""
+    def chunk(self, text: str) -> bytes | np.ndarray:
+        """Prefix counts (one per code point) of a text without white space or special strings, as it stands in a
+        document; one byte each for a short one."""
         got = self.words.get(text)
         if got is None:
             if text.isascii():
                 counts = self.plain(text.lower())
             else:
-                low = "".join(c.lower() for c in text)
+                low = "".join([c.lower() for c in text])
                 if len(low) == len(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
                     counts = self.plain(low)
                 else:  # characters combine or grow: each prefix is normalised as the library would
-                    counts = [(self.plain("".join(c.lower() for c in unicodedata.normalize("NFC", text[: i + 1]))) or [0])[-1] for i in range(len(text))]
-            got = np.array(counts, np.int32).tobytes()
+                    counts = [(self.plain("".join([c.lower() for c in unicodedata.normalize("NFC", text[: i + 1])])) or [0])[-1] for i in range(len(text))]
+            if len(text) > CACHED:
+                return np.array(counts, np.int32)
             if len(self.words) >= KEEP:
                 self.words.clear()
-            if len(text) <= 64:
-                self.words[text] = got
+            got = self.words[text] = bytes(counts)
         return got
 
     def text(self, text: str) -> np.ndarray:
@@ -183,27 +218,37 @@ class PrefixCounter:
     def text_plain(self, text: str) -> int:
         return int(self._run(text, 0)[0][-1])
 
+    def counts(self, text: str) -> np.ndarray:
+        got = self.chunk(text)
+        return np.frombuffer(got, np.uint8).astype(np.int32) if isinstance(got, bytes) else got
+
     def _run(self, text: str, base: int) -> tuple[np.ndarray, int]:
         out, at = [], 0
         for m in _GAP.finditer(text):
             if m.start() > at:
-                own = np.frombuffer(self.chunk(text[at : m.start()]), np.int32) + base
+                own = self.counts(text[at : m.start()]) + base
                 out.append(own)
                 base = int(own[-1])
             out.append(np.full(m.end() - m.start(), base, np.int32))
             at = m.end()
         if at < len(text):
-            own = np.frombuffer(self.chunk(text[at:]), np.int32) + base
+            own = self.counts(text[at:]) + base
             out.append(own)
             base = int(own[-1])
         return (np.concatenate(out) if out else np.zeros(0, np.int32)), base
 
 
+@lru_cache(2)
+def _counter(path: str) -> PrefixCounter:
+    """A worker's counter: what it has solved serves its later tasks."""
+    return PrefixCounter(path)
+
+
 def _simple(counter: PrefixCounter, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Prefix counts of all texts of an array: (offsets, counts). Distinct words are solved once for the array.
 
-    ASCII white space parts the words here; a word that holds other white space or a special string sends its
-    text to :meth:`PrefixCounter.text`.
+    ASCII white space parts the words here; a word that holds other white space or a special string, or is very
+    long, sends its text to :meth:`PrefixCounter.text`.
     """
     n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(n)])
@@ -213,11 +258,11 @@ def _simple(counter: PrefixCounter, texts: pa.Array) -> tuple[np.ndarray, np.nda
     coded = flat.dictionary_encode()
     words = coded.dictionary.to_pylist()
     code = coded.indices.to_numpy(zero_copy_only=False)
-    odd = pc.match_substring_regex(coded.dictionary, counter.odd).to_numpy(zero_copy_only=False)
+    odd = pc.or_(pc.match_substring_regex(coded.dictionary, counter.odd), pc.greater(pc.utf8_length(coded.dictionary), CACHED)).to_numpy(zero_copy_only=False)
     known = counter.words
-    solved = [bytes(4 * len(w)) if o else known.get(w) or counter.chunk(w) for w, o in zip(words, odd.tolist(), strict=True)]
-    size = np.array([len(s) // 4 for s in solved], np.int64)
-    pool = np.frombuffer(b"".join(solved), np.int32)
+    solved = [bytes(len(w)) if o else known.get(w) or counter.chunk(w) for w, o in zip(words, odd.tolist(), strict=True)]
+    size = np.array([len(s) for s in solved], np.int64)
+    pool = np.frombuffer(b"".join(solved), np.uint8).astype(np.int32)
     stop = np.cumsum(size)
     first = stop - size
     ends = np.where(size > 0, pool[np.maximum(stop - 1, 0)], 0) if len(pool) else np.zeros(len(size), np.int64)
@@ -254,7 +299,7 @@ def prefix_token_counts(df: DataFrame, tokenizer: str, text: str = "text", out:
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(tokenizer)
+        counter = _counter(tokenizer)
         for b in slices(batches, text, 1 << 20):
             texts = pc.fill_null(b.column(text), "")
             offsets, counts = _simple(counter, texts.cast(pa.string()))
