@@ -19,9 +19,9 @@ from ._text import slices
 from ._work import saved
 
 #: Bytes of text per block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Items gathered before a block's counts are shipped; a larger block ships more runs.
-MOST_ITEMS = 6_000_000
+MOST_ITEMS = 4_000_000
 
 RUNS = "part long, block long, items binary, counts binary"
 ANSWERS = "block long, part long, places binary, totals binary, seen long, kinds long, once long, twice long"
