@@ -36,6 +36,8 @@ _U = np.uint64
 SKETCH = 8
 #: Largest size that may be a light set's; subsets grow fast beyond.
 LIGHT = 20
+#: Lists of a set up to which its pairs are made once each.
+MANY = 256
 #: Rounds of stars before the remaining members are compared with each other.
 ROUNDS = 2
 
@@ -243,8 +245,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     weight = of.groupBy("item", "root").agg(F.count("*").alias("m"))
     largest = weight.groupBy("item").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("item", "top")
     left = saved(of.join(largest, "item"), "jaccard-left")
+    # a pair that meets in many lists is made in the first of them only; for sets in very many lists that isn't looked up
+    held = left.groupBy("node").agg(F.count("*").alias("m"), F.collect_list("item").alias("in")).where(F.col("m") <= MANY).select("node", "in")
+    left = saved(left.join(held, "node", "left"), "jaccard-left")
     p, q = left.where("root != top").alias("p"), left.alias("q")
-    rest = p.join(q, (F.col("p.item") == F.col("q.item")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q", percent))
+    first = F.coalesce(F.array_min(F.array_intersect("p.in", "q.in")) == F.col("p.item"), F.lit(True))
+    rest = p.join(q, (F.col("p.item") == F.col("q.item")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q", percent) & first)
     rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
     tables.append(saved(_verified(rest, sets, percent), "jaccard-edges"))
     drop(roots, left)
