@@ -1,0 +1 @@
+"""Section-level ingestion and hybrid retrieval on Spark."""
