@@ -32,8 +32,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest id. Of rows
     that share it, all that stand for it stay only once."""
     classes = jaccard_join.jaccard_components(docs.select("doc_id", "text"), 5, 80)
-    gone = saved(classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = saved(classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

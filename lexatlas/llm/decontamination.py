@@ -229,5 +229,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: s
     """
     marked = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).alias("row"), F.col(text).alias("t"))
     bad = saved(leaks(marked, items, "t", "row", **options).select("row").distinct(), "leaks")
-    mine = F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    return docs.withColumn("__row", mine).join(bad.withColumnRenamed("row", "__row"), "__row", "left_anti").drop("__row")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), F.struct(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")).alias("row"))
+    return rows.join(bad, "row", "left_anti").select("d.*")

@@ -114,7 +114,8 @@ class Reader:
         return out
 
     def symbols(self, table: Huffman, extra: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to ``most`` symbols and the values of their extra bits (``extra[symbol]`` many, 16 at most).
+        """Up to ``most`` symbols, as far as there are any, and the values of their extra bits (``extra[symbol]`` many, 16 at
+        most).
 
         Symbols of one length are decoded at that stride, more at a time as they keep fitting it.
         """
@@ -125,7 +126,7 @@ class Reader:
             head = self.peek(self.at)
             stride = int(table.length[head]) + int(extra[table.symbol[head]])
             if not table.length[head]:
-                raise ValueError("bad Huffman code")
+                break  # the ones that fill the last byte, or damage: the caller misses symbols then
             n = max(1, min(tries, most - have, (self.end - self.at) // stride))
             at = self.at + stride * np.arange(n)
             w = self.peek(at)
@@ -141,9 +142,7 @@ class Reader:
                 w = self.peek(self.at + np.arange(span))
                 size = np.where(table.length[w] > 0, table.length[w].astype(np.int64) + extra[table.symbol[w]], 0).tolist()
                 chain, p, room = [], 0, most - have
-                while p < span and room:
-                    if not size[p]:
-                        raise ValueError("bad Huffman code")
+                while p < span and room and size[p]:
                     chain.append(p)
                     p += size[p]
                     room -= 1
@@ -311,6 +310,8 @@ class Decoder:
         else:  # tables change within a unit
             got = [r.symbols(self.dc[t[0]], sizes, w) for _ in range(units) for t, w in zip(tables, widths, strict=True)]
             s, v = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        if len(s) < units * per:
+            raise ValueError("the scan ends early")
         diff = extend(v, s.astype(np.int64)).reshape(units, per)
         k = 0
         for c, blocks in own:
@@ -327,7 +328,7 @@ class Decoder:
             # at most so many symbols can still belong here
             s, v = r.symbols(table, extra, (n - block) * band - place)
             if not len(s):
-                break
+                raise ValueError("the scan ends early")
             run, size = (s >> 4).astype(np.int64), (s & 15).astype(np.int64)
             stop = np.flatnonzero((size == 0) & (run < 15))
             to = np.zeros(0, np.int64)
@@ -342,7 +343,7 @@ class Decoder:
                         c.coef[rows, low + pos] = extend(v[begin:e], size[begin:e]) << after
                         block, place = block + (place + e - begin) // band, (place + e - begin) % band
                     else:
-                        for i in range(begin, e):
+                        for i in range(begin, e if block < n else begin):
                             place += int(run[i])
                             if size[i]:
                                 c.coef[blocks[block], low + place] = int(extend(v[i : i + 1], size[i : i + 1])[0]) << after

@@ -67,8 +67,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """
     sizes = docs.select(F.col("source"), words_in(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, weights, most)
-    rates = sources.select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("__rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["__source"]))
-    copies = F.floor("__rate") + F.when(uniform(F.col(key), seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    kept = [F.col(c) for c in docs.columns if c != "copy"]
-    return joined.withColumn("__n", copies.cast("int")).where("__n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    rates = sources.select(F.struct("source").alias("of"), rate.alias("rate"))
+    kept = [c for c in docs.columns if c != "copy"]
+    # the row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*kept).alias("d"), F.struct("source").alias("of"), uniform(F.col(key), seed).alias("u"))
+    copies = F.floor("rate") + F.when(F.col("u") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    planned = rows.join(rates, "of").withColumn("n", copies.cast("int")).where("n > 0")
+    return planned.select(*[F.col("d").getField(c).alias(c) for c in kept], F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))

@@ -101,7 +101,8 @@ def scan(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    known = after.where(current & (F.size("spans") > 0)).groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("__spans"))
+    known = after.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     base = address(files.drop("findings"), text)
-    out = base.join(known, base["blob"] == known["__blob"], "left")
-    return out.select(*[base[c] for c in base.columns], F.coalesce(F.col("__spans"), F.expr(f"cast(array() as {SPAN})")).alias("findings")), after
+    # the row travels as one struct, so that its columns may have any names
+    out = base.select(F.struct(*base.columns).alias("d"), "blob").join(known, "blob", "left")
+    return out.select(*[F.col("d").getField(c).alias(c) for c in base.columns], F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("findings")), after
