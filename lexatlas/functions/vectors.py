@@ -91,6 +91,36 @@ class HashedEmbedder:
         return [float(x) for x in spark.createDataFrame([(text,)], "t string").select(self.documents(F.col("t"))).first()[0]]
 
 
+class LocalEmbedder:
+    """A sentence-transformers model, loaded once per Python worker; prefixes mark documents and queries."""
+
+    floor = 0.66
+
+    def __init__(self, model: str, dimensions: int, query_prefix: str = "", doc_prefix: str = "") -> None:
+        self.name, self.dimensions, self.query_prefix, self.doc_prefix = model, dimensions, query_prefix, doc_prefix
+
+    def _embed(self, prefix: str):  # noqa: ANN202
+        model = self.name
+
+        @F.pandas_udf("array<float>")
+        def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from sentence_transformers import SentenceTransformer
+
+            encoder = SentenceTransformer(model)
+            for texts in parts:
+                found = encoder.encode([prefix + (t or "") for t in texts], batch_size=32, normalize_embeddings=True)
+                yield pd.Series([x.astype("float32") for x in found])
+
+        return embed
+
+    def documents(self, text: Column) -> Column:
+        return self._embed(self.doc_prefix)(text)
+
+    def query(self, spark, text: str) -> list[float]:  # noqa: ANN001
+        one = spark.createDataFrame([(text,)], "t string").select(self._embed(self.query_prefix)(F.col("t")))
+        return [float(x) for x in one.first()[0]]
+
+
 def embedder(provider: str, dimensions: int, allow_remote: bool = False):  # noqa: ANN201
     """The embedder of a provider; remote ones need to be allowed, since text leaves the cluster."""
     if provider == "hashed":
@@ -104,4 +134,5 @@ def embedder(provider: str, dimensions: int, allow_remote: bool = False):  # noq
             import sentence_transformers  # noqa: F401
         except ImportError:
             raise ValueError("provider 'local' needs sentence_transformers") from None
+        return LocalEmbedder("nomic-ai/nomic-embed-text-v1.5", dimensions, "search_query: ", "search_document: ")
     raise ValueError(f"unknown embedding provider '{provider}'; available: hashed, local, openai, voyage")

@@ -230,3 +230,25 @@ def test_evaluation(spark):
     s = {r["tag"]: r for r in evaluate.summarize(evaluate.score(h, q)).collect()}
     assert (s[None]["hit@1"], s[None]["hit@3"], s[None]["mrr"], s[None]["kind@5"], s[None]["abstain"]) == (0.25, 0.75, 0.5, 1.0, 1.0)
     assert s["x"]["n"] == 1 and s["untagged"]["n"] == 2
+
+
+def test_fixed_windows_and_watching(spark, tmp_path):
+    from lexatlas.streaming.watch import watch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "code.md").write_text(CODE)
+    repo = Repository(spark, str(tmp_path / "r"))
+    repo.init(dimensions=16)
+    emb = vectors.HashedEmbedder(16)
+    seen = []
+
+    def take(df):
+        seen.append(repo.ingest(df, files.file_blocks, "t__naive", "T", "code", "base", emb, naive=True))
+
+    for _ in range(2):  # the second time there is nothing new
+        watch(spark, str(tmp_path / "in"), take, str(tmp_path / "cp")).awaitTermination(120)
+    assert len(seen) == 1 and seen[0]["exceptions"] == 0
+    chunks = repo.read("chunks").collect()
+    assert [c["kind"] for c in chunks] == ["body"] * len(chunks) and chunks
+    with pytest.raises(ValueError, match="allow_remote"):
+        vectors.embedder("openai", 16)
