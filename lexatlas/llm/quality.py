@@ -4,8 +4,9 @@ linear scorer trained on the posterior labels.
 Each labeller votes for (1) or against a class (-1) or abstains (0) on a document; human labels, where there are any, are
 one more, whose accuracy is set rather than estimated. Votes are counted by pattern over the whole corpus, a table whose
 size depends on the number of labellers alone, and expectation-maximisation finds how often each labeller votes in
-either class from these counts (Dawid and Skene, 1979). The posterior is log-linear in the votes. A linear model over hashed words and binned signals is then fitted to posteriors
-of a bounded sample and scores every whole document. The same is done twice, for quality and for toxicity.
+either class from these counts (Dawid and Skene, 1979). The posterior is log-linear in the votes. Of hashed words and binned signals, those whose share of the class differs from the
+sample's by some standard errors are found by distributed counts, so that the thousands of words of a long text don't add up
+to noise; a linear model over them is then fitted to posteriors of a bounded sample and scores every whole document. The same is done twice, for quality and for toxicity.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import PLAIN, buffer_of, mix, prefix_hashes, slices, word_hashes
+from ._work import drop, saved
 from .decontamination import plain_words
 
 #: Documents of the sample that the scorer is fitted on, at most about; buckets of its features; of a feature with a
@@ -140,22 +142,14 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, trusted: int, positive:
     return prior, weights
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, n: int, target: np.ndarray, rounds: int = 300, shrink: float = 0.5) -> tuple[float, np.ndarray]:
-    """(bias, weights by bucket) of a logistic model of ``target`` (probabilities) on ``n`` texts.
-
-    Only features whose share of the class differs from the whole sample's by STRONG standard errors have a weight, so
-    the thousands of words of a long text don't add up to noise; a small sample leaves few. The rest is a ridge
-    regression by accelerated steps under a separable bound of the curvature, which can't overshoot.
-    """
-    out = np.zeros(BUCKETS, np.float32)
+def fit(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: int = 300, shrink: float = 0.5) -> tuple[float, np.ndarray]:
+    """(bias, weights by bucket) of a logistic ridge regression of ``target`` (probabilities) on the features ``cols`` of texts
+    ``rows``, by accelerated steps under a separable bound of the curvature, which can't overshoot."""
+    out, n = np.zeros(BUCKETS, np.float32), len(target)
     if not n:
         return 0.0, out
     share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
-    seen, own = np.bincount(cols, minlength=BUCKETS), np.bincount(cols, target[rows], minlength=BUCKETS)
-    z = (own - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
-    good = ((np.abs(z) >= STRONG) & (seen >= LEAST))[cols]
-    rows = rows[good]
-    used, cols = np.unique(cols[good], return_inverse=True)
+    used, cols = np.unique(cols, return_inverse=True)
     each = np.bincount(rows, minlength=n) + 1.0
     step = 1 / (0.25 * np.bincount(cols, each[rows], minlength=len(used)) + shrink)
     step_b = 1 / (0.25 * each.sum())
@@ -171,6 +165,14 @@ def fit(rows: np.ndarray, cols: np.ndarray, n: int, target: np.ndarray, rounds:
     return b, out
 
 
+def posterior(labellers: tuple[float, np.ndarray], votes_: np.ndarray) -> np.ndarray:
+    """Probability of the class for rows of votes, the label's last; what a person said settles it."""
+    prior, weights = labellers
+    z = prior + sum(weights[j][votes_[:, j] + 1] for j in range(votes_.shape[1]))
+    last = votes_[:, -1]
+    return 1 / (1 + np.exp(-np.clip(np.where(last != 0, last * np.log(TRUST / (1 - TRUST)), z), -30, 30)))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict:
     """The two models: bias and weights for ``quality`` and ``toxic``, and the labellers' weights.
 
@@ -213,17 +215,51 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             every = np.concatenate([q, b.column("ql").to_numpy()[:, None], x, b.column("xl").to_numpy()[:, None]], 1).astype(np.int8)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in every], pa.binary()), pa.array([r.tobytes() for r in f], pa.binary())], ["votes", "f"])
 
-    got = picked.mapInArrow(sampled, "votes binary, f binary").toPandas()
-    lists = [np.frombuffer(x, np.int32) for x in got["f"]]
-    every = np.array([np.frombuffer(x, np.int8) for x in got["votes"]], np.int64).reshape(len(got), len(QUALITY) + len(TOXICITY))
-    at = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    cols = np.concatenate(lists or [np.zeros(0, np.int32)])
-    for what, part in (("quality", every[:, : len(QUALITY)]), ("toxic", every[:, len(QUALITY) :])):
-        prior, weights = model[what]["labellers"]
-        z = prior + sum(weights[j][part[:, j] + 1] for j in range(part.shape[1]))
-        last = part[:, -1]
-        z = np.where(last != 0, last * np.log(TRUST / (1 - TRUST)), z)
-        model[what]["bias"], model[what]["weights"] = fit(at, cols, len(lists), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    held = saved(picked.mapInArrow(sampled, "votes binary, f binary"), "quality-sample")
+    kinds = ("quality", "toxic")
+
+    def targets(b: pa.RecordBatch) -> list[np.ndarray]:
+        every = np.array([np.frombuffer(x.as_py(), np.int8) for x in b.column("votes")], np.int64).reshape(len(b), len(QUALITY) + len(TOXICITY))
+        return [posterior(model[k]["labellers"], part) for k, part in zip(kinds, (every[:, : len(QUALITY)], every[:, len(QUALITY) :]), strict=True)]
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per bucket the texts that have it, and their sums of both classes; bucket -1 has all texts."""
+        sums = np.zeros((3, BUCKETS + 1))
+        for b in batches:
+            both = targets(b)
+            for i, f in enumerate(b.column("f")):
+                at = np.frombuffer(f.as_buffer(), np.int32)
+                for k, x in enumerate((1.0, both[0][i], both[1][i])):
+                    sums[k][at] += x
+                    sums[k][-1] += x
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(some == BUCKETS, -1, some).astype(np.int32)), *[pa.array(x[some]) for x in sums]], ["bucket", "n", "quality", "toxic"])
+
+    counted = held.coalesce(8).mapInArrow(tables, "bucket int, n double, quality double, toxic double").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *kinds)])
+    # at most as many rows as there are buckets
+    got = counted.where(F.col("n") >= LEAST).toPandas().set_index("bucket")
+    whole = got.loc[-1] if -1 in got.index else None
+    got = got[got.index >= 0]
+    strong = {}
+    for k in kinds:
+        share = float(np.clip(whole[k] / whole["n"], 1e-3, 1 - 1e-3)) if whole is not None else 0.5
+        z = (got[k] - got["n"] * share) / np.sqrt(got["n"] * share * (1 - share) + 1)
+        strong[k] = np.sort(got.index[np.abs(z) >= STRONG].to_numpy())
+    keep = np.union1d(strong["quality"], strong["toxic"]).astype(np.int32)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = targets(b)
+            f = [x[np.isin(x, keep)].tobytes() for x in (np.frombuffer(y.as_buffer(), np.int32) for y in b.column("f"))]
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(f, pa.binary())], ["quality", "toxic", "f"])
+
+    fitted = held.mapInArrow(narrowed, "quality double, toxic double, f binary").toPandas()
+    drop(held)
+    lists = [np.frombuffer(x, np.int32) for x in fitted["f"]]
+    at, cols = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists]), np.concatenate(lists or [np.zeros(0, np.int32)])
+    for k in kinds:
+        own = np.isin(cols, strong[k])
+        model[k]["bias"], model[k]["weights"] = fit(at[own], cols[own], fitted[k].to_numpy(float))
     return model
 
 
