@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
+_made: dict[str, DataFrame] = {}
+
+
+@atexit.register
+def _tidy() -> None:
+    """Delete what is left when the process ends; tables that a result still reads stay until then."""
+    for t in list(_made.values()):
+        with contextlib.suppress(Exception):
+            drop(t)
 
 
 def folder(spark: SparkSession) -> str:
@@ -43,6 +52,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _made[path] = out
     return out
 
 
@@ -54,6 +64,7 @@ def drop(*tables: DataFrame | None) -> None:
             jvm, sc = t.sparkSession._jvm, t.sparkSession.sparkContext
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _made.pop(path, None)
 
 
 def blocks_of(docs: DataFrame, text: str, each: int) -> int:
