@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices
+from ._text import slices, trim
 from ._work import saved
 
 #: Bytes of text per block.
@@ -119,6 +119,7 @@ def answers(shipped: DataFrame, name: str) -> DataFrame:
     """
 
     def add(t: pa.Table) -> pa.Table:
+        trim()
         block = t.column("block").to_numpy()
         lists = [unpacked(x.as_py(), True) for x in t.column("items")]
         n = [len(x) for x in lists]

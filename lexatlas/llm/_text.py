@@ -7,14 +7,16 @@ consecutive words can be hashed from two prefix sums.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are hashed at a time; bounds the memory of one step whatever the text's length.
-BLOCK = 1 << 21
+#: Bytes or words that are hashed at a time; bounds the memory of one step, and of the tables of powers that a worker keeps.
+BLOCK = 1 << 18
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -142,8 +144,16 @@ def run_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray
     return out
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, where that is offered: workers idle between tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text (one row at least)."""
+    trim()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         total, at = 0, 0
@@ -154,6 +164,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             total += int(size)
         if at < len(sizes):
             yield batch.slice(at)
+    trim()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
