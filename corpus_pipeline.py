@@ -22,7 +22,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier in the corpus; n_chars follows. A document none of whose lines is left goes,
     unless it was blank before."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, shortest=line_dedup.LEAST, exact=line_dedup.EXACT)
     whole = out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return whole.withColumn("n_chars", chars).select(*docs.columns)
