@@ -33,6 +33,8 @@ ADJECTIVES = ("stupid", "dumb", "pathetic", "worthless", "disgusting", "ugly", "
 _U = np.uint64
 #: Signals, each with the value from which a document looks bad.
 SIGNALS = {"symbols": 0.06, "capitals": 0.45, "exclaims": 0.2, "pipes": 0.1, "same_word": 0.3, "stutter": 0.1, "same_line": 0.45, "long_words": 0.2}
+#: Shares of the sample for labelled documents and for others, whose targets are posteriors; the same at every size.
+LABELLED, OTHERS = 0.75, 0.25
 #: Accuracy of human labels.
 TRUST = 0.98
 #: Bytes of the beginnings of words that are features as words are: compounds and inflections share them.
@@ -200,9 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         model[what] = {"labellers": accuracies(table[cols].to_numpy(int).reshape(-1, len(cols)), counts, len(cols) - 1, positive)}
     labelled = float(counts[(table["ql"] != 0) | (table["xl"] != 0)].sum())
     draw = F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20))
-    # labelled documents where there are enough, else others too
-    enough = labelled >= sample / 8
-    most = [int((1 << 20) * min(1.0, part * sample / max(n, 1.0))) for part, n in ((1.0 if enough else 0.75, labelled), (0.0 if enough else 0.25 if labelled else 1.0, counts.sum() - labelled))]
+    # without any labels others are all there is
+    most = [int((1 << 20) * min(1.0, part * sample / max(n, 1.0))) for part, n in ((LABELLED, labelled), (OTHERS if labelled else 1.0, counts.sum() - labelled))]
     some = rows.where(draw < max(most)).join(known, F.col("key") == F.col("lk"), "left")
     picked = some.where(draw < F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), most[0]).otherwise(most[1])).select("t", ql, xl).limit(2 * sample)
 

@@ -49,3 +49,15 @@ def test_odd_rows(spark, odd, none):
     out = q.classify(odd, model)
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns) | {"p_quality", "p_toxic"}
     assert q.classify(none, q.train(none, labels.limit(0))).count() == 0
+
+
+def test_labellers_count_with_many_labels(spark, monkeypatch):
+    """With more than an eighth of the sample labelled, what the labellers' weights say still reaches the scores."""
+    docs, labels, _ = corpus(spark)
+    assert labels.count() > 400 / 8
+    scores = lambda: {r["doc_id"]: (r["p_quality"], r["p_toxic"]) for r in q.classify(docs, q.train(docs, labels, sample=400)).collect()}
+    found = scores()
+    estimated = q.accuracies
+    monkeypatch.setattr(q, "accuracies", lambda *a: (0.0, np.zeros_like(estimated(*a)[1])))
+    silent = scores()
+    assert max(abs(found[i][0] - silent[i][0]) for i in found) > 0.01 and max(abs(found[i][1] - silent[i][1]) for i in found) > 0.01
