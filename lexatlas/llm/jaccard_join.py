@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a size-aware heavy-light set similarity join over word shingles.
 
 Light sets, up to a boundary, enumerate subsets: two sets of sizes a and b whose similarity reaches the threshold share
-c(a, b) = ceil(t (a + b) / (1 + t)) elements, so they share a subset of just that size, keyed by the two sizes; sharing a
-key is being linked, nothing is left to verify. Heavy sets scan inverted lists: of each set only the
+c(a, b) = ceil(t (a + b) / (1 + t)) elements, so they share a subset of just that size, keyed by the two sizes. A key links
+its sets of the smaller size with all others that have it, as c(a, b) is enough for each such pair; two sets of the larger
+size may need more and aren't linked by it, so nothing is left to verify. Heavy sets scan inverted lists: of each set only the
 a - ceil(t a) + 1 rarest shingles are listed, by exact document counts over the whole corpus, and those that no other
 document has are not listed at all. The boundary minimises the cost over the histogram of sizes.
 
@@ -190,7 +191,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
                             code_ab = (min(a, p) << 16 | max(a, p)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
                             for part in combinations(s.tolist(), c):
                                 x = int(mix(np.array([(sum(part) * 0xD6E8FEB86659FD93 + code_ab) & (1 << 64) - 1], _U)).view(np.int64)[0])
-                                found.append((1, x))
+                                found.append((1 if a <= p else 4, x))
                 if a > light or a >= low:
                     df = totals[np.searchsorted(items, s & ~_U(1))]
                     order = np.lexsort((s, df))[: listed(a, percent)]
@@ -219,9 +220,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     drop(answered)
     members = made.where("what = 0").select("key", "node", "n")
     sets = made.where("what = 3").select("node", "items").dropDuplicates(["node"])
-    # light sets: all that share a subset are linked, one star says so
-    shared = made.where("what = 1").select("item", "node").distinct()
-    hub = shared.groupBy("item").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("item", "a")
+    # light sets: those of a key's smaller size (1) are linked with each other and with those of the larger (4), which
+    # aren't by themselves; one star around one of the smaller says so
+    shared = made.where("what in (1, 4)").select("item", "node", "what").distinct()
+    hub = shared.groupBy("item").agg(F.min(F.when(F.col("what") == 1, F.col("node"))).alias("a"), F.count("*").alias("m")).where("m > 1 and a is not null").select("item", "a")
     edges = saved(shared.join(hub, "item").where("node != a").select("a", F.col("node").alias("b")).distinct(), "jaccard-edges")
     # heavy sets: lists of two members at least
     cols = ["node", "n", *[f"k{i}" for i in range(SKETCH)]]

@@ -62,6 +62,25 @@ def test_groups(spark, n, percent):
     check(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "light", "size"), [(4, 85, 7, 10), (4, 85, 10, 10), (1, 80, 5, 5)])
+def test_light_sets_below_the_threshold(spark, monkeypatch, n, percent, light, size):
+    """Texts that differ in one word, at a boundary that makes them light: sets of the larger size of a key aren't linked by it."""
+    monkeypatch.setattr(jj, "boundary", lambda sizes, percent: light)
+    rng = random.Random(light)
+    vocab = [f"v{i}" for i in range(400)]
+    rows = []
+    for _ in range(12):
+        base = rng.sample(vocab, size)
+        for at in (0, 1, size // 2, size - 1, size - 1):
+            w = list(base)
+            w[at] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+        rows += [(len(rows), " ".join(base))]
+        if rng.random() < 0.5:
+            rows += [(len(rows), " ".join(base[:-1])), (len(rows) + 1, " ".join([*base, "more"]))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
+
+
 def test_boundary_is_by_cost():
     assert jj.boundary({a: 100 for a in range(1, 6)}, 85) == 5 and jj.boundary({}, 85) == 0
     assert jj.boundary({30: 100, 12: 1}, 50) == 0
