@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexatlas.llm import decontamination, jaccard_join, line_dedup, mixing, quality
-from lexatlas.llm._work import saved
+from lexatlas.llm._work import drop, saved
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one with the smallest id. Of rows
-    that share it, all that stand for it stay only once."""
-    classes = jaccard_join.jaccard_components(docs.select("doc_id", "text"), 5, 80)
-    gone = saved(classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates (five words, similarity 0.8): the one with the smallest id, null ids last, then
+    the smallest hash of its text. Of repeated rows one stays too. Rows without words are in no group and stay."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    # its fields may be null to Arrow
+    row = row.cast(f"struct<none:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},th:bigint>")
+    classes = saved(jaccard_join.jaccard_components(docs.select(row.alias("row"), "text"), 5, 80, key="row"), "classes")
+    first = F.col("row") == F.col("component_id")
+    gone = classes.where(~first).select("row").distinct()
+    # rows that agree in id and text stand for their group more than once
+    several = classes.where(first & (F.col("n_shingles") > 0)).groupBy("row").count().where("count > 1").select("row")
+    gone, several = saved(gone, "duplicates"), saved(several, "repeated")
+    drop(classes)
+    rows = docs.select(row.alias("row"), F.struct(*docs.columns).alias("d"))
+    one = rows.join(several, "row", "left_semi").groupBy("row").agg(F.min("d").alias("d"))
+    rest = rows.join(gone.unionByName(several), "row", "left_anti")
+    return rest.unionByName(one).select("d.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

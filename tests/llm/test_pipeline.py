@@ -36,3 +36,17 @@ def test_near_duplicate_stage_keeps_one_of_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = cp.dedup_documents(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.where("doc_id is not null").collect()) == [5, 9, 11]
+
+
+def test_near_duplicate_stage_decides_by_row(spark):
+    """Null ids go after others, repeated rows stay once, and a row that only shares its id with a copy stays."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"y{rng.randrange(400)}" for _ in range(100))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a, "en"), (None, a + " more", "en"), (2, b, "en"), (2, b, "en"), (2, b, None), (3, a, "en"), (3, c, "en"), (None, d, "en"), (None, d, "en"), (None, d + " more", "en"), (4, e, "en"), (4, e + " more", "en"), (5, "", None), (5, "", None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["text"]) for r in cp.dedup_documents(spark, docs, "").collect()]
+    assert {(1, a), (2, b), (3, c), (5, "")} <= set(got)
+    assert len([g for g in got if g[1] == a or g[1] == a + " more"]) == 1 and got.count((2, b)) == 1 and got.count((3, c)) == 1
+    assert len([g for g in got if g[1] and g[1].startswith(d)]) == 1 and len([g for g in got if g[1] and g[1].startswith(e)]) == 1
+    assert got.count((5, "")) == 2 and got.count((None, None)) == 1 and len(got) == 8  # rows without words are in no group
