@@ -2,11 +2,13 @@
 linear scorer trained on the posterior labels.
 
 Each labeller votes for (1) or against a class (-1) or abstains (0) on a document; human labels, where there are any, are
-one more, whose accuracy is set rather than estimated. Votes are counted by pattern over the whole corpus, a table whose
+one more among them, whose accuracy is set rather than estimated, and which others may outvote. One labeller of toxicity
+has learnt its words from a sample of the labelled documents. Votes are counted by pattern over the whole corpus, a table whose
 size depends on the number of labellers alone, and expectation-maximisation finds how often each labeller votes in
 either class from these counts (Dawid and Skene, 1979). The posterior is log-linear in the votes. Of hashed words and binned signals, those whose share of the class differs from the
 sample's by some standard errors are found by distributed counts, so that the thousands of words of a long text don't add up
-to noise; a linear model over them is then fitted to posteriors of a bounded sample and scores every whole document. The same is done twice, for quality and for toxicity.
+to noise; a linear model over them is then fitted to the posteriors of a bounded sample, drawn by hash from all documents, and scores every
+whole document. The same is done twice, for quality and for toxicity.
 """
 
 from __future__ import annotations
@@ -33,14 +35,14 @@ ADJECTIVES = ("stupid", "dumb", "pathetic", "worthless", "disgusting", "ugly", "
 _U = np.uint64
 #: Signals, each with the value from which a document looks bad.
 SIGNALS = {"symbols": 0.06, "capitals": 0.45, "exclaims": 0.2, "pipes": 0.1, "same_word": 0.3, "stutter": 0.1, "same_line": 0.45, "long_words": 0.2}
-#: Shares of the sample for labelled documents and for others, whose targets are posteriors; the same at every size.
-LABELLED, OTHERS = 0.75, 0.25
+#: Words that the learning labeller keeps at most, the strongest first; share of toxic documents among those that have one, at least.
+LEARNT, MOSTLY = 4096, 0.9
 #: Accuracy of human labels.
 TRUST = 0.98
 #: Bytes of the beginnings of words that are features as words are: compounds and inflections share them.
 HEADS = (4, 6, 7)
 QUALITY = (*SIGNALS, "label")
-TOXICITY = ("nouns", "adjectives", "label")
+TOXICITY = ("nouns", "adjectives", "learnt", "label")
 
 
 def _class(chars: str) -> np.ndarray:
@@ -68,8 +70,8 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return (key[at] >> _U(36)).astype(np.int64), key[at] & _U((1 << 36) - 1), np.diff(np.append(at, len(key)))
 
 
-def describe(texts: pa.Array, words_too: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signals by text in the order of SIGNALS, hits of both word lists by text, text and bucket of each feature).
+def describe(texts: pa.Array, words_too: bool = True, learnt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signals by text in the order of SIGNALS, hits of both word lists and of ``learnt`` words by text, text and bucket of each feature).
 
     Features are a text's distinct words, their first letters, and its signals in bins; without ``words_too`` none.
     """
@@ -93,10 +95,10 @@ def describe(texts: pa.Array, words_too: bool = True) -> tuple[np.ndarray, np.nd
         lines[i] = 1 - len(set(parts)) / len(parts) if len(parts) >= 4 else 0.0
     values = np.stack([h @ _SYMBOL / solid, h @ _UPPER / letters, h[:, 33] / size, h[:, 124] / size, np.where(size >= 8, top / size, 0), stutter, lines, np.maximum(0.0, solid / size - 25) / 25], 1)
     doc = np.repeat(np.arange(n), np.diff(firsts))
-    hits = np.stack([np.bincount(doc[np.isin(words, x)], minlength=n) for x in _LEXICONS], 1)
+    hits = np.stack([np.bincount(doc[np.isin(words, x)], minlength=n) for x in (*_LEXICONS, np.zeros(0, _U) if learnt is None else learnt)], 1)
     if not words_too:
         return values, hits, doc[:0], doc[:0]
-    bins = np.concatenate([np.minimum(15, np.ceil(np.log2(1 + 256 * values)) + 4 * (values >= list(SIGNALS.values()))).astype(np.int64), np.minimum(hits, 3)], 1)
+    bins = np.concatenate([np.minimum(15, np.ceil(np.log2(1 + 256 * values)) + 4 * (values >= list(SIGNALS.values()))).astype(np.int64), np.minimum(hits[:, : len(_LEXICONS)], 3)], 1)
     tokens = mix(((np.arange(bins.shape[1]) + 1) * 64 + bins).astype(_U) * _U(0x9E3779B97F4A7C15))
     found = [_distinct(doc, words)[:2], *[_distinct(doc[at], x)[:2] for at, x in heads], _distinct(np.repeat(np.arange(n), bins.shape[1]), tokens.ravel())[:2]]
     where, what = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -126,7 +128,7 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, trusted: int, positive:
     said = patterns[:, trusted] != 0
     for turn in range(rounds):
         z = prior + sum(weights[j][patterns[:, j] + 1] for j in range(m))
-        # what a person said settles it
+        # what a person said settles the class while accuracies are estimated, or labellers could confirm each other
         z = np.where(said, patterns[:, trusted] * sure, z)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         done, p = np.abs(new - p).max(initial=0) < 1e-6, new
@@ -168,27 +170,66 @@ def fit(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: int = 30
 
 
 def posterior(labellers: tuple[float, np.ndarray], votes_: np.ndarray) -> np.ndarray:
-    """Probability of the class for rows of votes, the label's last; what a person said settles it."""
+    """Probability of the class for rows of votes, the label's last and one among them."""
     prior, weights = labellers
     z = prior + sum(weights[j][votes_[:, j] + 1] for j in range(votes_.shape[1]))
-    last = votes_[:, -1]
-    return 1 / (1 + np.exp(-np.clip(np.where(last != 0, last * np.log(TRUST / (1 - TRUST)), z), -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def learn_words(labelled: DataFrame) -> np.ndarray:
+    """Hashes of words that stand in toxic documents far more often than in others, of rows (t, x): text and 1, toxic, or -1.
+
+    Counted by word over all rows; only words that pass the bounds reach the driver, LEARNT at most."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            words, firsts = plain_words(b.column("t"))
+            doc = np.repeat(np.arange(len(b)), np.diff(firsts))
+            toxic = b.column("x").to_numpy() > 0
+            found: dict[str, list] = {"word": [], "n": [], "toxic": []}
+            order = np.lexsort((doc, words))
+            w, d = words[order], doc[order]
+            new = np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])]) if len(w) else np.zeros(0, bool)
+            w, d = w[new], d[new]
+            at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+            found["word"], found["n"] = w[at].view(np.int64), np.diff(np.append(at, len(w)))
+            found["toxic"] = np.add.reduceat(toxic[d].astype(np.int64), at) if len(at) else at
+            # of the whole batch, under a word that is none
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found["word"], 0)), pa.array(np.append(found["n"], len(b))), pa.array(np.append(found["toxic"], int(toxic.sum())))], ["word", "n", "toxic"])
+
+    counted = saved(labelled.mapInArrow(tables, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "quality-words")
+    whole = counted.where("word = 0").first()
+    if not whole or not 0 < whole["toxic"] < whole["n"]:
+        drop(counted)
+        return np.zeros(0, _U)
+    share = whole["toxic"] / whole["n"]
+    z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
+    strong = counted.where((F.col("word") != 0) & (F.col("n") >= LEAST) & (F.col("toxic") >= MOSTLY * F.col("n")) & (z >= STRONG))
+    got = [r["word"] for r in strong.orderBy(z.desc(), "word").limit(LEARNT).select("word").collect()]
+    drop(counted)
+    return np.unique(np.array(got, np.int64).view(_U))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> dict:
     """The two models: bias and weights for ``quality`` and ``toxic``, and the labellers' weights.
 
     ``labels`` has (key, quality, toxic), 1 or 0, nulls and missing rows abstaining; of several for a key the mean counts,
-    above or below a half. Vote patterns cover all documents; the scorer is fitted on about ``sample`` of them, drawn by
-    the hash of their key.
+    above or below a half. Vote patterns cover all documents. The scorer is fitted to the posteriors of about ``sample`` of
+    them, drawn by the hash of their key, and the learning labeller sees about as many labelled ones: both bounded samples,
+    drawn alike at every size.
     """
     known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("lk")).agg(*[F.signum(F.avg(F.col(c)) - 0.5).cast("int").alias(c) for c in ("quality", "toxic")])
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     names = [f"q{i}" for i in range(len(QUALITY) - 1)] + [f"x{i}" for i in range(len(TOXICITY) - 1)]
+    share = lambda n: int((1 << 20) * min(1.0, sample / max(n, 1.0)))
+    taught = known.where("toxic != 0").select("lk", F.col("toxic").alias("x"))
+    drawn = lambda c, what, n: F.pmod(F.xxhash64(c, F.lit(what)), F.lit(1 << 20)) < share(n)
+    n_taught = taught.count()
+    learnt = learn_words(rows.where(drawn("key", "words", n_taught)).join(taught.where(drawn("lk", "words", n_taught)), F.col("key") == F.col("lk")).select("t", "x"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            values, hits, _, _ = describe(b.column("t"), False)
+            values, hits, _, _ = describe(b.column("t"), False, learnt)
             q, x = votes(values, hits)
             yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c.astype(np.int32)) for c in np.concatenate([q, x], 1).T]], ["key", *names])
 
@@ -200,16 +241,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     model: dict = {}
     for what, cols, positive in (("quality", [*names[: len(QUALITY) - 1], "ql"], 0.85), ("toxic", [*names[len(QUALITY) - 1 :], "xl"], 0.1)):
         model[what] = {"labellers": accuracies(table[cols].to_numpy(int).reshape(-1, len(cols)), counts, len(cols) - 1, positive)}
-    labelled = float(counts[(table["ql"] != 0) | (table["xl"] != 0)].sum())
-    draw = F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20))
-    # without any labels others are all there is
-    most = [int((1 << 20) * min(1.0, part * sample / max(n, 1.0))) for part, n in ((LABELLED, labelled), (OTHERS if labelled else 1.0, counts.sum() - labelled))]
-    some = rows.where(draw < max(most)).join(known, F.col("key") == F.col("lk"), "left")
-    picked = some.where(draw < F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), most[0]).otherwise(most[1])).select("t", ql, xl).limit(2 * sample)
+    n = float(counts.sum())
+    picked = rows.where(drawn("key", "fit", n)).join(known.where(drawn("lk", "fit", n)), F.col("key") == F.col("lk"), "left").select("t", ql, xl)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            values, hits, where, what = describe(b.column("t"))
+            values, hits, where, what = describe(b.column("t"), learnt=learnt)
             o = np.argsort(where, kind="stable")
             f = np.split(what[o], np.searchsorted(where[o], np.arange(1, len(b))))
             q, x = votes(values, hits)

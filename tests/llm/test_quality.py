@@ -61,3 +61,41 @@ def test_labellers_count_with_many_labels(spark, monkeypatch):
     monkeypatch.setattr(q, "accuracies", lambda *a: (0.0, np.zeros_like(estimated(*a)[1])))
     silent = scores()
     assert max(abs(found[i][0] - silent[i][0]) for i in found) > 0.01 and max(abs(found[i][1] - silent[i][1]) for i in found) > 0.01
+
+
+def test_spoilt_accuracies_change_scores_with_thousands_of_labels(spark, monkeypatch):
+    """Labels are one labeller among others at every size: what EM finds of the others reaches all scores."""
+    docs, labels, _ = corpus(spark, 9000)
+    assert labels.count() > 4000
+    scores = lambda: {r["doc_id"]: (r["p_quality"], r["p_toxic"]) for r in q.classify(docs, q.train(docs, labels, sample=3000)).collect()}
+    found, estimated = scores(), q.accuracies
+
+    def spoilt(*a):
+        prior, w = estimated(*a)
+        w[:-1] *= -1
+        return prior, w
+
+    monkeypatch.setattr(q, "accuracies", spoilt)
+    other = scores()
+    assert all(np.mean([abs(found[i][k] - other[i][k]) for i in found]) > 0.01 for k in (0, 1))
+
+
+def test_em_against_a_plain_form():
+    """The table of patterns gives the same weights as an expectation-maximisation that walks single documents."""
+    rng = np.random.default_rng(4)
+    votes = np.stack([-(rng.random(400) < 0.2).astype(int), -(rng.random(400) < 0.3).astype(int), rng.choice([-1, 0, 1], 400)], 1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    prior, w = q.accuracies(patterns, counts.astype(float), 2, 0.8, rounds=6)
+    sure = np.log(q.TRUST / (1 - q.TRUST))
+    weights = {0: (-4.0, 0.0, 4.0), 1: (-4.0, 0.0, 4.0), 2: (-sure, 0.0, sure)}
+    odds = np.log(0.8 / 0.2)
+    for turn in range(6):
+        p = [1 / (1 + np.exp(-np.clip(v[2] * sure if v[2] else odds + sum(weights[j][v[j] + 1] for j in range(3)), -30, 30))) for v in votes]
+        use = [1.0 if turn or v[2] else 0.0 for v in votes]
+        for j in (0, 1):
+            x, y = ([sum(u * (t if good else 1 - t) for v, t, u in zip(votes, p, use) if v[j] == k) + 0.5 for k in (-1, 0, 1)] for good in (True, False))
+            ratio = [np.log(a / sum(x)) - np.log(b / sum(y)) for a, b in zip(x, y)]
+            weights[j] = min(ratio[0], -0.5), 0.0, max(ratio[2], 0.5)
+        good = sum(u * t for t, u in zip(p, use))
+        odds = np.log((good + 1) / (sum(use) - good + 1))
+    assert abs(prior - odds) < 1e-9 and np.allclose(w, [weights[j] for j in range(3)])
