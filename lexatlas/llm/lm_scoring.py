@@ -1,13 +1,15 @@
 """LM scoring: a smoothed n-gram model as a weighted backoff automaton.
 
-States are contexts; an arc (state, word) carries the smoothed log-probability of a word seen in that context; a state
-without the arc follows its failure arc to the next shorter context and pays that arc's backoff weight. One left-to-right
-traversal carries the state and adds up weights, all documents of a block in step.
-
-Smoothing is by a Dirichlet prior on the next shorter order, P(w | v) = (c(vw) + mu P(w)) / (c(v) + mu), so an unseen
-pair costs exactly mu / (c(v) + mu) times P(w): the failure arc's weight. The unigrams are absolutely discounted,
-P(w) = (c - d) / N, and the mass d V / N goes to the one unknown word. Both sum to one. Counts are exact over all training
-documents (see ``_counts``): no table of fixed size, no pruning, nothing broadcast.
+States are contexts of up to two words; an arc (state, word) carries the smoothed log-probability of a word seen in that context; a
+state without the arc follows its failure arc to the next shorter context, pays that arc's backoff weight, and so on down to
+the root, which has an arc for every word. One left-to-right traversal carries the state and adds up weights, all documents of a block in step.
+
+Smoothing is by a Dirichlet prior on the next shorter order, P(w | v) = (c(vw) + m P(w)) / (c(v) + m), so an unseen
+pair costs exactly m / (c(v) + m) times P(w): the failure arc's weight. Triples are arcs where both their pairs stand
+twice at least in the training texts, as every triple does that is seen twice; P(w | uv) = (c(uvw) + m P(w | v)) / (t(uv) + m), t(uv)
+being the sum over the context's arcs. The unigrams are absolutely discounted,
+P(w) = (c - d) / N, and the mass d V / N goes to the one unknown word. All sum to one. Counts are exact over all training
+documents (see ``_counts``), in one round for words and pairs and one for triples and contexts: no table of fixed size, nothing broadcast.
 """
 
 from __future__ import annotations
@@ -20,16 +22,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._counts import BLOCK_BYTES, answers, count_blocks, known, placed, statistics, with_block
+from ._counts import BLOCK_BYTES, RUNS, answers, count_blocks, known, placed, runs, statistics, tally, with_block
 from ._text import mix, slices, word_hashes
 from ._work import blocks_of
 
 _U = np.uint64
+_RUNS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("items", pa.binary()), ("counts", pa.binary())])
 #: The hash of the end of a text, which is also the context of its first word.
 END = _U(0x51ED270B27D4EB2F)
-#: Weight of the prior of a context, in observations. Chosen on held-out text.
-PRIOR = 300.0
+#: Weights of the priors of contexts of one and of two words, in observations. Chosen on held-out text.
+PRIOR, PRIOR_TWO = 300.0, 20.0
+#: Times that both pairs of a triple are seen at least.
+LEAST = 2
 
 
 def _one(h: np.ndarray) -> np.ndarray:
@@ -57,12 +63,21 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Automaton:
-    """Arcs by key (state and word); per state the weight of its failure arc, which leads to the root. The root, state 0, has an
-    arc for every word: ``word_weight`` and ``word_next`` by word, the last word being the unknown one."""
+    """The part of the model that a block can reach.
+
+    State 0 is the root, then come one for each word and one for each context of two words. ``pair_keys`` and
+    ``triple_keys`` name arcs by state and word, with a weight and the state after; the last of each is none. ``fail`` is the state
+    that a failure arc leads to, ``fail_weight`` what it costs. The root has an arc for every word, the last word being
+    the unknown one: ``word_weight`` and ``word_next``.
+    """
 
-    keys: np.ndarray
-    weights: np.ndarray
-    nexts: np.ndarray
+    pair_keys: np.ndarray
+    pair_weight: np.ndarray
+    pair_next: np.ndarray
+    triple_keys: np.ndarray
+    triple_weight: np.ndarray
+    triple_next: np.ndarray
+    fail: np.ndarray
     fail_weight: np.ndarray
     word_weight: np.ndarray
     word_next: np.ndarray
@@ -70,11 +85,11 @@ class Automaton:
     def key(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         return state.astype(np.int64) * len(self.word_weight) + word
 
-    def traverse(self, words: np.ndarray, arcs: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
+    def traverse(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
         """log10-probability of each text: all texts advance by one token at a time, each in its own state.
 
-        ``arcs`` says for each token which arc its pair with the token before would be; the arc is taken only when its
-        key is that of the state that the text is in, else the failure arc.
+        ``pairs`` and ``triples`` say for each token which arcs it would be with the one and the two tokens before; an arc is taken only
+        when its key is that of the state that the text is in, else the failure arc is.
         """
         sizes = np.diff(firsts)
         order = np.argsort(-sizes, kind="stable")
@@ -84,24 +99,91 @@ class Automaton:
         # texts still on their way, for each step
         active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if len(sizes) else 0), "right")
         for t, n in enumerate(active.tolist()):
-            w, s = words[at[:n] + t], state[:n]
-            if len(self.keys):
-                i = arcs[at[:n] + t]
-                hit = (self.keys[i] == self.key(s, w)) & (s > 0)
-                gain = np.where(hit, self.weights[i], self.fail_weight[s] + self.word_weight[w])
-                score[:n] += gain
-                state[:n] = np.where(hit, self.nexts[i], self.word_next[w])
-            else:
-                score[:n] += self.fail_weight[s] + self.word_weight[w]
-                state[:n] = self.word_next[w]
+            here = at[:n] + t
+            w, s = words[here], state[:n]
+            gain, after = np.zeros(n), np.full(n, -1, np.int64)
+            for keys, weights, nexts, arcs in ((self.triple_keys, self.triple_weight, self.triple_next, triples), (self.pair_keys, self.pair_weight, self.pair_next, pairs)):
+                i = arcs[here]
+                hit = (after < 0) & (keys[i] == self.key(s, w)) & (s > 0)
+                gain += np.where(hit, weights[i], 0.0)
+                after = np.where(hit, nexts[i], after)
+                # states of the order of these arcs fail to the next shorter context
+                missed = (after < 0) & (self.fail[s] < s) & ((s >= len(self.word_weight)) | (keys is self.pair_keys))
+                gain += np.where(missed, self.fail_weight[s], 0.0)
+                s = np.where(missed, self.fail[s], s)
+            score[:n] += gain + np.where(after < 0, self.word_weight[w], 0.0)
+            state[:n] = np.where(after < 0, self.word_next[w], after)
         out = np.empty(len(sizes))
         out[order] = score
         return out
 
 
-def automaton(words: np.ndarray, counts: np.ndarray, first: np.ndarray, second: np.ndarray, pair_counts: np.ndarray, total: int, kinds: int, discount: float, prior: float) -> Automaton:
-    """The part of the model that a block can reach. ``words`` are distinct; ``first`` and ``second`` index them by pair."""
-    n = len(words)
+@dataclass
+class Block:
+    """A block's tokens with the corpus' counts: distinct ``words`` and ``pairs`` with ``word_counts`` and ``pair_counts``; of each
+    token its word, its pair with the token before, and the word before; the texts' first tokens; which tokens are learnt."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    previous: np.ndarray
+    firsts: np.ndarray
+    learn: np.ndarray
+    begin: int
+
+    def longer(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens after a pair that is seen often enough, hashes of these pairs as contexts, which of the tokens end a triple
+        whose second pair is, too, hashes of their triples)."""
+        second = np.ones(len(self.word), bool)
+        second[self.firsts[:-1]] = False
+        at = np.flatnonzero(second)
+        often = self.pair_counts >= LEAST
+        at = at[often[self.pair[at - 1]]]
+        ends = np.flatnonzero(often[self.pair[at]])
+        before = self.pairs[self.pair[at - 1]]
+        triple = mix(before[ends] * _U(0xC2B2AE3D27D4EB4F) + self.words[self.word[at[ends]]]) | _U(1)
+        return at, _one(mix(before ^ _U(0x165667B19E3779F9))), ends, triple
+
+    def tallied(self) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts and triples, how often each is learnt); a context counts for each triple that it begins."""
+        at, context, ends, triple = self.longer()
+        learn = self.learn[at[ends]].astype(np.int32)
+        begins = np.zeros(len(at), np.int32)
+        begins[ends] = learn
+        return np.concatenate([triple, context]), np.concatenate([learn, begins])
+
+
+def block_of(own: pa.Table, answer: pa.Table, parts: int) -> Block:
+    batches = list(slices(iter(own.combine_chunks().to_batches()), "t"))
+    found = [tokens_of(b.column("t")) for b in batches]
+    word, before = (np.concatenate([p[i] for p in found] or [np.zeros(0, _U)]) for i in (0, 1))
+    sizes = np.concatenate([np.diff(p[2]) for p in found] or [np.zeros(0, np.int64)])
+    firsts = np.concatenate([[0], np.cumsum(sizes)])
+    out = pc.fill_null(own.column("out"), False).combine_chunks().to_numpy(zero_copy_only=False)
+    learn = np.repeat(~out, sizes)
+    items, counts, place = placed(np.concatenate([word, _two(before, word)]), np.concatenate([learn, learn]))
+    totals = known(answer, items, counts, parts)
+    double = items & _U(1) == 1
+    rank = np.where(double, np.cumsum(double), np.cumsum(~double)) - 1
+    place = rank[place]
+    index, pair = place[: len(word)], place[len(word) :]
+    begin = int(np.searchsorted(items[~double], END & ~_U(1)))  # every text has an end
+    previous = np.empty_like(index)
+    previous[1:] = index[:-1]
+    previous[firsts[:-1]] = begin
+    return Block(items[~double], totals[~double], items[double], totals[double], index, pair, previous, firsts, learn, begin)
+
+
+def automaton(b: Block, triples: tuple[np.ndarray, ...], total: int, kinds: int, discount: float, prior: float, prior_two: float) -> tuple[Automaton, np.ndarray]:
+    """(the part of the model that a block can reach, which triple's arc each token would be).
+
+    ``triples``: tokens after a context, place of each one's context among the distinct ones, which of them end a triple, place
+    of each one's triple, and the counts of contexts and of triples.
+    """
+    n, counts = len(b.words), b.word_counts
     p = np.append(np.where(counts > 0, (counts - discount) / max(total, 1), 0.0), 0.0)
     unknown = discount * kinds / total if total else 1.0
     p[:-1][counts <= 0] = unknown
@@ -110,13 +192,29 @@ def automaton(words: np.ndarray, counts: np.ndarray, first: np.ndarray, second:
         uni = np.log10(p)
     # a word with a count is a context: state 1 + its index; others lead back to the root
     following = np.append(np.where(counts > 0, np.arange(1, n + 1), 0), 0)
+    some = np.empty(len(b.pairs), np.int64)  # a place where each pair stands
+    some[b.pair] = np.arange(len(b.pair))
+    first, second = b.previous[some], b.word[some]
     # pairs that only unlearnt texts have are no arcs: no state has their key
-    seen = pair_counts > 0
-    weight = np.log10(np.where(seen, pair_counts + prior * p[second], 1.0) / (counts[first] + prior))
+    seen = b.pair_counts > 0
+    two = (b.pair_counts + prior * p[second]) / (counts[first] + prior)
+    at, context, ends, triple, context_counts, triple_counts = triples
+    of = np.full(len(b.pairs), -1, np.int64)  # the state of each pair that is a context
+    of[b.pair[at - 1]] = n + 1 + context
+    nexts = np.where(of >= 0, of, following[second])
     keys = np.where(seen, (first.astype(np.int64) + 1) * (n + 1) + second, -1)
-    # every failure arc leads to the root: contexts here are one word long
-    fail = np.append(0.0, np.log10(prior / (counts + prior)))
-    return Automaton(keys, weight, following[second], fail, uni, following)
+    fail = np.zeros(n + 1 + len(context_counts), np.int64)
+    fail[n + 1 + context] = following[b.word[at - 1]]
+    fail_weight = np.concatenate([[0.0], np.log10(prior / (counts + prior)), np.log10(prior_two / (context_counts + prior_two))])
+    some = np.empty(len(triple_counts), np.int64)
+    some[triple] = ends
+    end, state = at[some], n + 1 + context[some]
+    three = (triple_counts + prior_two * two[b.pair[end]]) / (context_counts[context[some]] + prior_two)
+    triple_keys = np.where(triple_counts > 0, state * (n + 1) + b.word[end], -1)
+    arcs = np.full(len(b.word), len(triple_counts), np.int64)
+    arcs[at[ends]] = triple
+    last = lambda x, v: np.append(x, v)
+    return Automaton(last(keys, -1), last(np.log10(np.where(seen, two, 1.0)), 0.0), last(nexts, 0), last(triple_keys, -1), last(np.log10(np.maximum(three, 1e-300)), 0.0), last(nexts[b.pair[end]], 0), fail, fail_weight, uni, following), arcs
 
 
 def held_out(key: Column) -> Column:
@@ -124,12 +222,12 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 7 == 2, F.lit(False))
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float = PRIOR, order: int = 3, prior_two: float = PRIOR_TWO) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from all documents that aren't held out and scores all whole texts with their end token. Lower-cases A-Z
     only. ``n_known`` counts tokens with a training count; ``base_score`` is the add-one unigram score, ``score`` the
-    automaton's log10-probability. Null and empty texts are their end token. A null key isn't held out. Repeated rows
+    automaton's log10-probability, of words in contexts of ``order`` - 1 words, one or two. Null and empty texts are their end token. A null key isn't held out. Repeated rows
     count and score as often as they stand; other columns, whatever their names, are left out; an empty table gives
     an empty one. Without any training text all mass is the unknown word's.
     """
@@ -147,34 +245,40 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
     total, kinds, once, twice = statistics(answered, 0)
     discount = once / (once + 2 * twice) if once else 0.5
 
+    def longer(own: pa.Table, answer: pa.Table) -> pa.Table:
+        if not len(own):
+            return pa.Table.from_batches([], _RUNS)
+        b = block_of(own, answer, blocks)
+        return pa.Table.from_batches([runs(own.column("block")[0].as_py(), *tally(*b.tallied()), blocks)]).cast(_RUNS)
+
     def judge(own: pa.Table, answer: pa.Table) -> pa.Table:
-        batches = list(slices(iter(own.combine_chunks().to_batches()), "t"))
-        parts = [tokens_of(b.column("t")) for b in batches]
-        word = np.concatenate([p[0] for p in parts] or [np.zeros(0, _U)])
-        before = np.concatenate([p[1] for p in parts] or [np.zeros(0, _U)])
-        sizes = np.concatenate([np.diff(p[2]) for p in parts] or [np.zeros(0, np.int64)])
-        firsts = np.concatenate([[0], np.cumsum(sizes)])
-        out = pc.fill_null(own.column("out"), False).combine_chunks().to_numpy(zero_copy_only=False)
-        learn = np.repeat(~out, sizes)
-        items, counts, place = placed(np.concatenate([word, _two(before, word)]), np.concatenate([learn, learn]))
-        totals = known(answer, items, counts, blocks)
-        double = items & _U(1) == 1
-        words, c, pair_counts = items[~double], totals[~double], totals[double]
-        rank = np.where(double, np.cumsum(double), np.cumsum(~double)) - 1
-        place = rank[place]
-        index, pair = place[: len(word)], place[len(word) :]
-        begin = int(np.searchsorted(words, END & ~_U(1)))  # every text has an end
-        previous = np.empty_like(index)
-        previous[1:] = index[:-1]
-        previous[firsts[:-1]] = begin
-        some = np.empty(len(pair_counts), np.int64)  # a place where each pair stands
-        some[pair] = np.arange(len(pair))
-        m = automaton(words, c, previous[some], index[some], pair_counts, total, kinds, discount, prior)
-        result = m.traverse(index, pair, firsts, int(m.word_next[begin]))
-        per = c[index]
+        if not len(own):
+            return pa.Table.from_batches([], scores)
+        level = lambda k: answer.filter(pc.equal(answer.column("level"), k))
+        b = block_of(own, level(1), blocks)
+        nothing = np.zeros(0, np.int64)
+        found = (nothing,) * 6
+        if order > 2:
+            at, _, ends, triple = b.longer()
+            items, counts, place = placed(*b.tallied())
+            totals = known(level(2), items, counts, blocks)
+            odd = items & _U(1) == 1
+            place = (np.where(odd, np.cumsum(odd), np.cumsum(~odd)) - 1)[place]
+            found = at, place[len(triple) :], ends, place[: len(triple)], totals[~odd], totals[odd]
+        m, arcs = automaton(b, found, total, kinds, discount, prior, prior_two)
+        result = m.traverse(b.word, np.minimum(b.pair, len(m.pair_keys) - 1), arcs, b.firsts, int(m.word_next[b.begin]))
+        per = b.word_counts[b.word]
         base = np.log10((per + 1) / (total + kinds + 1))
-        add = lambda x: np.add.reduceat(x, firsts[:-1]) if len(sizes) else x[:0]
-        return pa.table([own.column("key"), pa.array(out), pa.array(sizes.astype(np.int64)), pa.array(add((per > 0).astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base)), pa.array(result)], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        add = lambda x: np.add.reduceat(x, b.firsts[:-1])
+        sizes = np.diff(b.firsts).astype(np.int64)
+        return pa.table([own.column("key"), own.column("out"), pa.array(sizes), pa.array(add((per > 0).astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base)), pa.array(result)], scores)
 
-    back = answered.where("block >= 0").select("block", "part", "places", "totals")
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(judge, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    columns = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scores = pa.schema([(key, to_arrow_type(docs.schema[key].dataType)), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
+    own, back = dealt.groupBy("block"), answered.where("block >= 0").select("block", "part", "places", "totals")
+    if order > 2:
+        more = answers(own.cogroup(back.groupBy("block")).applyInArrow(longer, RUNS), "lm-triples")
+        both = back.withColumn("level", F.lit(1)).unionByName(more.where("block >= 0").select("block", "part", "places", "totals", F.lit(2).alias("level")))
+    else:
+        both = back.withColumn("level", F.lit(1))
+    return own.cogroup(both.groupBy("block")).applyInArrow(judge, columns)

@@ -30,9 +30,9 @@ def brute(rows, order=3):
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
         two = lambda a, w: (bi[a, w] + lm.PRIOR * p(w)) / (uni[a] + lm.PRIOR)
         score = math.log10(two(None, t[0]))
-        for u, v, w in zip([None, *t], t, t[1:]):
-            m = lm.PRIOR_TWO if order > 2 else float("inf")
-            score += math.log10((tri[u, v, w] + m * two(v, w)) / (into[u, v] + m) if order > 2 and into[u, v] else two(v, w))
+        for u, x, w in zip([None, *t], t, t[1:]):
+            m = lm.PRIOR_TWO
+            score += math.log10((tri[u, x, w] + m * two(x, w)) / (into[u, x] + m) if order > 2 and into[u, x] else two(x, w))
         out.append((h, len(t), sum(uni[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
