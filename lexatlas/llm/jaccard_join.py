@@ -259,10 +259,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     roots = components(_all(tables))
     node_of = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # without shingles there are no links, so each such row is its own
-    own = F.when(F.col("n") > 0, F.col("root"))
-    least = node_of.where("n > 0").groupBy("root").agg(F.min("key").alias("least"))
-    out = node_of.withColumn("root", own).join(least, "root", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+    linked = node_of.where("n > 0")
+    # written before it is joined, so that the join can be split
+    least = saved(linked.groupBy("root").agg(F.min("key").alias("least")), "jaccard-least")
+    out = linked.join(least, "root").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return out.unionByName(members.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id")))
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
