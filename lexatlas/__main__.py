@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             repo.reset()
         elif a.what == "ingest":
             corpus = f"{a.corpus}__naive" if a.naive else a.corpus
-            print(json.dumps(repo.ingest(files.scan(spark, a.path), files.file_blocks, corpus, a.title, a.grammar, a.layer, emb, a.force, a.naive)))
+            print(json.dumps(repo.ingest(files.scan(spark, a.path), files.all_blocks, corpus, a.title, a.grammar, a.layer, emb, a.force, a.naive)))
         elif a.what == "remove":
             repo.delete(a.document)
         elif a.what == "corpora":
@@ -87,7 +87,7 @@ def _evaluate(spark: SparkSession, repo: Repository, emb: object, settings: Sett
         rows = out["hits"].select("section.number", "matched_chunks.kind").collect()
         return [{"number": r[0], "kinds": r[1] or []} for r in rows], out["abstain"]
 
-    summary = evaluate.summarize(evaluate.score(evaluate.run(ask, questions, ("vector", "lexical", "hybrid")), questions))
+    summary = evaluate.summarize(evaluate.score(evaluate.run(ask, questions, ("naive", "vector", "lexical", "hybrid")), questions))
     print(evaluate.report(summary))
     broken = evaluate.gate(summary, "hybrid", a.gate)
     print("\n".join(broken), file=sys.stderr)

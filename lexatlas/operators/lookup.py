@@ -97,28 +97,47 @@ def amendments_for(sections: DataFrame) -> DataFrame:
     return keys.groupBy("corpus_id", "number").agg(F.min("id").alias("amendment_id"))
 
 
-def details(sections: DataFrame, chunks: DataFrame, refs: DataFrame, include_children: bool = False, include_tables: bool = True) -> DataFrame:
+def details(sections: DataFrame, chunks: DataFrame, refs: DataFrame, include_children: bool = False, include_tables: bool = True, only: DataFrame | None = None) -> DataFrame:
     """Sections with everything that is shown of them: body, exceptions, tables, definitions, what amends them, references,
-    citation and, if wanted, children. Each part is aggregated once and joined, whatever the number of sections.
+    citation and, if wanted, children with their bodies. Each part is aggregated once and joined, whatever the number of sections;
+    with ``only`` (id) just for these.
 
-    ``sections`` has layer, document_title and corpus_title beside its own columns.
+    ``sections`` has layer, document_title, corpus_title and version beside its own columns. ``amended_by`` is a struct of
+    document, version and section_number.
     """
+    whole = sections
+    if only is not None:
+        sections = sections.join(only, "id", "left_semi")
+        chunks = chunks.join(only.withColumnRenamed("id", "section_id"), "section_id", "left_semi")
+        refs = refs.join(only.withColumnRenamed("id", "from_section_id"), "from_section_id", "left_semi")
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ordinal", "content")))), lambda x: x["content"])
     parts = chunks.groupBy(F.col("section_id").alias("id")).agg(listed("exception").alias("exceptions"), listed("table").alias("tables"), listed("definition").alias("definitions"))
     out_refs = refs.groupBy(F.col("from_section_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("ref_text"), F.col("ref_number").alias("number"), F.col("ref_kind").alias("kind"), F.col("to_section_id").isNotNull().alias("resolved")))).alias("cross_refs"))
-    amended = amendments_for(sections)
-    names = sections.select(F.col("id").alias("amendment_id"), F.col("document_title").alias("by_title"), F.col("number").alias("by_number"))
+    amended = amendments_for(whole).join(sections.select("corpus_id", "number").distinct(), ["corpus_id", "number"], "left_semi")
+    version = F.col("version") if "version" in whole.columns else F.lit(None).cast("string")
+    names = whole.select(F.col("id").alias("amendment_id"), F.col("document_title").alias("by_title"), version.alias("by_version"), F.col("number").alias("by_number"))
     s = sections.join(parts, "id", "left").join(out_refs, "id", "left").join(amended, ["corpus_id", "number"], "left")
     s = s.withColumn("amendment_id", F.when((F.col("layer") == "base"), F.col("amendment_id"))).join(names, "amendment_id", "left")
     cite = citation(F.col("document_title"), F.col("corpus_title"), F.col("corpus_id"), F.col("number"), F.col("page_start"))
     by = F.concat("by_title", F.lit(" §"), "by_number")
-    s = s.withColumn("amended_by", F.when(F.col("amendment_id").isNotNull(), by)).withColumn("citation", F.when(F.col("amended_by").isNotNull(), F.concat(cite, F.lit(", as amended by "), "amended_by")).otherwise(cite))
+    amends = F.struct(F.col("by_title").alias("document"), F.col("by_version").alias("version"), F.col("by_number").alias("section_number"))
+    s = s.withColumn("amended_by", F.when(F.col("amendment_id").isNotNull(), amends)).withColumn("citation", F.when(F.col("amended_by").isNotNull(), F.concat(cite, F.lit(", as amended by "), by)).otherwise(cite))
     if not include_tables:
         s = s.drop("tables")
     if include_children:
-        kids = sections.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "number", "title"))), lambda x: F.struct(x["number"].alias("number"), x["title"].alias("title"))).alias("children"))
+        below = whole.where("parent_id is not null")
+        below = below if only is None else below.join(only.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+        body = F.col("body") if "body" in whole.columns else F.lit(None).cast("string")
+        child = F.struct("ordinal", "number", "title", body.alias("content"))
+        kids = below.groupBy(F.col("parent_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(child)), lambda x: F.struct(x["number"].alias("number"), x["title"].alias("title"), x["content"].alias("content"))).alias("children"))
         s = s.join(kids, "id", "left")
-    return s.drop("by_title", "by_number")
+    return s.drop("by_title", "by_version", "by_number")
+
+
+def section_chunks(chunks: DataFrame, sections: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Chunks of ``sections`` (id), of the given kinds where any are, in the order of kind and ordinal within a section."""
+    some = chunks.where(F.col("kind").isin(kinds)) if kinds else chunks
+    return some.join(sections.select(F.col("id").alias("section_id")), "section_id", "left_semi").sortWithinPartitions("section_id", "kind", "ordinal")
 
 
 def contents(sections: DataFrame, deepest: int = 2) -> DataFrame:

@@ -191,7 +191,7 @@ def search(store: Store, embedder: object, query: str, corpora: list[str] | None
     listed = tops.join(names, "section_id").withColumn("position", F.row_number().over(order))
     placed_hits = overlaid(listed, lookup.amendments_for(placed), k)
     shown = placed_hits.join(tops.select("section_id", "vector_rank", "lexical_rank", "matched_chunks"), "section_id", "left")
-    detail = lookup.details(placed, store.chunks, store.cross_refs, include_children=True).withColumnRenamed("id", "section_id")
+    detail = lookup.details(placed, store.chunks, store.cross_refs, include_children=True, only=shown.select(F.col("section_id").alias("id"))).withColumnRenamed("id", "section_id")
     none = F.lit(None)
     hits = shown.join(detail, "section_id").select(
         "place", "section_id", "corpus_id", F.struct(F.col("document_title").alias("title"), "layer", "version").alias("document"), F.struct("number", "title", "path", "page_start", "page_end").alias("section"),
@@ -230,7 +230,7 @@ def _found(store: Store, number: str, corpus: str | None, prefer: str | None = N
 def get_section(store: Store, number: str, corpus: str | None = None, include_children: bool = False, include_tables: bool = True) -> DataFrame:
     """The section's details in one row; NotFound names the nearest numbers."""
     s, row = _found(store, number, corpus)
-    return lookup.details(store.placed(), store.chunks, store.cross_refs, include_children, include_tables).where(F.col("id") == row["id"])
+    return lookup.details(store.placed(), store.chunks, store.cross_refs, include_children, include_tables, store.chunks.sparkSession.createDataFrame([(row["id"],)], "id long"))
 
 
 def get_context(store: Store, number: str, corpus: str | None = None) -> dict:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexatlas.work import settled
+
 from lexatlas.schema import BLOCK_DDL
 
 #: File types by their endings.
@@ -26,10 +28,10 @@ def suffix(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, sha256) of every file under ``path`` that can be parsed, by path."""
+    """(path, content, sha256) of every file under ``path`` that can be parsed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     known = files.where(suffix(F.col("path")).isin(*SUFFIXES))
-    return known.select("path", "content", F.sha2("content", 256).alias("sha256")).orderBy("path")
+    return known.select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
 def require_known(path: str) -> str:
@@ -257,8 +259,11 @@ def pdf_blocks(lines: DataFrame, larger: float = 1.15) -> DataFrame:
 
 
 def file_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of all scanned files, each by the parser of its type; ``document`` is the path."""
+    """Blocks of Markdown, HTML and DOCX files, each by the parser of its type; ``document`` is the path. A file of another type
+    raises when it is read: :func:`all_blocks` takes PDF files, too."""
     end = suffix(F.col("path"))
+    other = F.raise_error(F.concat(F.lit("no parser for "), "path")).cast("string")
+    files = files.withColumn("path", F.when(end.isin(*MARKDOWN, *HTML, *DOCX), F.col("path")).otherwise(other))
     marked = files.where(end.isin(*MARKDOWN)).select(F.col("path").alias("document"), F.decode("content", "UTF-8").alias("text"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,10 +279,18 @@ def file_blocks(files: DataFrame) -> DataFrame:
     return markdown_blocks(marked).unionByName(marked_up)
 
 
-def all_blocks(files: DataFrame, pdf: bool = False) -> DataFrame:
-    """As :func:`file_blocks`, with PDF files where ``pdf`` says that PyMuPDF is there."""
-    out = file_blocks(files)
-    return out.unionByName(pdf_blocks(pdf_lines(files.where(suffix(F.col("path")).isin(*PDF)).select("path", "content")))) if pdf else out
+def all_blocks(files: DataFrame) -> DataFrame:
+    """As :func:`file_blocks`, with PDF files, which need PyMuPDF; those with no text on most pages raise."""
+    end = suffix(F.col("path"))
+    pdf = files.where(end.isin(*PDF)).select("path", "content")
+    out = file_blocks(files.where(~F.coalesce(end.isin(*PDF), F.lit(False))))
+    if pdf.select("path").isEmpty():
+        return out
+    lines = settled(pdf_lines(pdf))
+    # pages without text have no lines: a document's pages are counted up to its last line
+    pages = lines.groupBy("document").agg(F.max("page").alias("last")).select("document", F.explode(F.sequence(F.lit(1), "last")).alias("page"))
+    read = lines.join(check_scanned(lines, pages), "document", "left_semi")
+    return out.unionByName(pdf_blocks(read))
 
 
 def page_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

@@ -1,12 +1,16 @@
-"""A store on a shared folder: immutable snapshots of all tables and a pointer to the current one.
+"""A store on a shared folder: folders of immutable rows, and for each snapshot a manifest that says which belong to it.
 
-A write makes every table of the next snapshot first and moves the pointer last, so readers see all of an ingest or nothing,
-and a lost executor or driver leaves the old snapshot in place. Files go through Spark's own file systems.
+A write makes the next snapshot's new folders first and its manifest last, under a name of its own and only if no other
+has it, so readers see all of an ingest or nothing: there is no pointer to move, and the snapshot with the highest
+manifest is the current one. A table that an ingest only adds to keeps its folders, and gets one more. A lost executor or driver leaves the
+old snapshot in place. Files go through Spark's own file systems.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +25,23 @@ from lexatlas.operators.lookup import page_count
 from lexatlas.operators.retrieve import Store
 from lexatlas.work import settled
 
-_POINTER = "_CURRENT"
+_MANIFEST = "_SNAPSHOT."
+
+
+def numbered(df: DataFrame, order: list[str], base: int, name: str = "id") -> DataFrame:
+    """``df`` with whole numbers from ``base`` + 1 in the order of ``order``, whose rows are distinct.
+
+    Rows are dealt by ranges of the order and numbered within each; only the ranges' sizes, one row each, meet in one task.
+    """
+    dealt = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    rank = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + rank + base).cast("long")).drop("__part", "__before")
 
 
 class Repository:
-    """Tables under ``root``: root/v=N/<table> and root/_CURRENT, which holds N."""
+    """Tables under ``root``: folders root/v=N/<table> and manifests root/_SNAPSHOT.N, which name each table's folders."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,47 +53,58 @@ class Repository:
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int | None:
-        p, fs = self._path(_POINTER)
+        """The highest snapshot with a whole manifest."""
+        p, fs = self._path("")
         if not fs.exists(p):
             return None
+        found = [f.getPath().getName() for f in fs.listStatus(p) if f.getLen() > 0]
+        return max((int(n.removeprefix(_MANIFEST)) for n in found if n.startswith(_MANIFEST) and n.removeprefix(_MANIFEST).isdigit()), default=None)
+
+    def _folders(self, version: int) -> dict[str, list[str]]:
+        p, fs = self._path(f"{_MANIFEST}{version}")
         stream = fs.open(p)
         try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _point(self, version: int) -> None:
-        new, fs = self._path(f"{_POINTER}.{version}")
-        out = fs.create(new, True)
-        out.write(bytearray(str(version).encode()))
+    def _publish(self, version: int, folders: dict[str, list[str]]) -> None:
+        # written under another name, then renamed, so that no reader sees a part of it
+        new, fs = self._path(f"_writing-{uuid.uuid4().hex}")
+        out = fs.create(new, False)
+        out.write(bytearray(json.dumps(folders).encode()))
         out.close()
-        p, _ = self._path(_POINTER)
-        fs.delete(p, False)
-        if not fs.rename(new, p):
-            raise OSError("the pointer to the current snapshot could not be moved")
+        p, _ = self._path(f"{_MANIFEST}{version}")
+        if fs.exists(p) or not fs.rename(new, p):
+            fs.delete(new, False)
+            raise OSError(f"snapshot {version} was written by another run")
 
     # -- tables
 
+    def _table(self, name: str, folders: list[str]) -> DataFrame:
+        kind = schema.schema(name)
+        if not folders:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*[f"{self.root}/{f}" for f in folders])
+
     def read(self, name: str) -> DataFrame:
         v = self.version()
         if v is None:
             raise NotFound("no store here; init() makes one")
-        return self.spark.read.schema(schema.schema(name)).parquet(f"{self.root}/v={v}/{name}")
+        return self._table(name, self._folders(v).get(name, []))
 
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """The next snapshot: ``changed`` tables as given, others as they are."""
+    def commit(self, changed: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> int:
+        """The next snapshot: ``changed`` tables as given, ``added`` rows beside what their tables have, others as they are."""
         now = self.version()
+        folders = {} if now is None else self._folders(now)
         new = (now or 0) + 1
-        for name in schema.TABLES:
-            kind = schema.schema(name)
-            if name in changed:
-                df = changed[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind])
-            elif now is None:
-                df = self.spark.createDataFrame([], kind)
-            else:
-                df = self.read(name)
-            df.write.mode("overwrite").parquet(f"{self.root}/v={new}/{name}")
-        self._point(new)
+        for name, df in {**changed, **(added or {})}.items():
+            fit = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.schema(name)])
+            # a folder of its own, so that what a lost run left is never read
+            folder = f"v={new}/{name}-{uuid.uuid4().hex}"
+            fit.write.parquet(f"{self.root}/{folder}")
+            folders[name] = [folder] if name in changed else [*folders.get(name, []), folder]
+        self._publish(new, folders)
         return new
 
     def init(self, provider: str = "hashed", model: str = "hashed-bow", dimensions: int = 768, query_prefix: str = "", doc_prefix: str = "") -> None:
@@ -96,7 +123,7 @@ class Repository:
         fs.delete(p, True)
 
     def open(self) -> Store:
-        return Store(*[self.read(n) for n in ("corpora", "documents", "sections", "chunks", "cross_refs")])
+        return Store(*[self.read(n) for n in ("corpora", "documents", "sections", "chunks", "cross_refs", "postings")])
 
     # -- ingest
 
@@ -117,6 +144,7 @@ class Repository:
             "documents": self.read("documents").join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti"),
             "sections": sections.join(gone, "document_id", "left_anti"),
             "chunks": self.read("chunks").join(gone_sections, "section_id", "left_anti"),
+            "postings": self.read("postings").join(self.read("chunks").join(gone_sections, "section_id", "left_semi").select(F.col("id").alias("key")), "key", "left_anti"),
             "cross_refs": marked.withColumn("to_section_id", F.when(F.col("lost").isNull(), F.col("to_section_id"))).drop("lost"),
         }
 
@@ -141,25 +169,27 @@ class Repository:
         except Exception as e:
             run = self.spark.createDataFrame([(time.time_ns(), "failed", str(e)[:2000])], "id long, status string, error string")
             done = run.select("id", F.lit(None).cast("long").alias("document_id"), F.current_timestamp().alias("started_at"), F.current_timestamp().alias("finished_at"), "status", F.lit(None).cast(schema.schema("ingest_runs")["stats"].dataType).alias("stats"), "error")
-            self.commit({"ingest_runs": self.read("ingest_runs").unionByName(done)})
+            self.commit({}, {"ingest_runs": done})
             raise
 
     def _ingest(self, files, blocks, corpus, corpus_title, grammar, layer, embedder, force, naive, version) -> dict:  # noqa: ANN001
         known = self.read("documents").where(F.col("corpus_id") == corpus)
         twice = known.join(files.select("sha256").distinct(), "sha256", "left_semi")
-        tables = {n: self.read(n) for n in ("documents", "sections", "chunks", "cross_refs")}
+        tables = {n: self.read(n) for n in ("documents", "sections", "chunks", "cross_refs", "postings")}
         if twice.first() is not None:
             if not force:
                 raise AlreadyIngested(f"already ingested into {corpus}: {', '.join(r[0] for r in twice.select('source_path').limit(3).collect())}")
             tables = self.without(twice)
+        replaced = twice.first() is not None
         top = lambda t: (t.agg(F.max("id")).first()[0] or 0)
-        bases = {n: top(tables[n]) for n in tables}
-        # ids follow the paths' order; one row per file
-        files = files.dropDuplicates(["sha256"])
-        numbered = files.select("path", "sha256", (F.row_number().over(W.orderBy("path")) + bases["documents"]).cast("long").alias("document_id"))
+        bases = {n: top(tables[n]) for n in tables if n != "postings"}
+        # of files with one content the first path counts; ids follow the paths' order
+        first = settled(files.groupBy("sha256").agg(F.min("path").alias("path")))
+        files = files.join(first, ["sha256", "path"], "left_semi")
+        listed = settled(numbered(first.select("path", "sha256"), ["path"], bases["documents"], "document_id"))
         made = tree.tag_amendments(tree.build(blocks(files), grammar, corpus_title), layer)
-        made = made.join(numbered.withColumnRenamed("path", "document"), "document")
-        made = settled(made.withColumn("id", (F.row_number().over(W.orderBy("document_id", "ordinal")) + bases["sections"]).cast("long")))
+        made = made.join(listed.withColumnRenamed("path", "document"), "document")
+        made = settled(numbered(made, ["document_id", "ordinal"], bases["sections"]))
         if naive:
             windows = chunking.windows(chunking.section_tokens(made))
             chunked = made.withColumn("clean_body", F.array_join("paragraphs", "\n\n")).withColumn("refs", F.array().cast("array<struct<ref_text:string,number:string,kind:string>>"))
@@ -171,26 +201,26 @@ class Repository:
         parents = made.select(F.col("document_id"), F.col("ord").alias("parent"), F.col("id").alias("parent_id"))
         sections = chunked.join(parents, ["document_id", "parent"], "left").select("id", "document_id", F.lit(corpus).alias("corpus_id"), "parent_id", "number", "number_norm", "title", "depth", "path", F.col("clean_body").alias("body"), "page_start", "page_end", "ordinal", F.col("supersedes").alias("supersedes_number"))
         vector = embedder.documents(F.col("text")) if embedder is not None else F.lit(None).cast("array<float>")
-        chunks = pieces.withColumn("id", (F.row_number().over(W.orderBy("section_id", "kind", "ordinal")) + bases["chunks"]).cast("long")).withColumn("corpus_id", F.lit(corpus)).withColumn("embedding", vector).withColumn("terms", lexical.terms(F.col("text")))
-        documents = numbered.join(made.groupBy("document_id").agg(page_count(F.col("page_end")).alias("page_count")), "document_id", "left").select(F.col("document_id").alias("id"), F.lit(corpus).alias("corpus_id"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"), F.lit(layer).alias("layer"), F.lit(version).cast("string").alias("version"), F.col("path").alias("source_path"), "sha256", "page_count", F.current_timestamp().alias("ingested_at"))
+        chunks = numbered(pieces, ["section_id", "kind", "ordinal"], bases["chunks"]).withColumn("corpus_id", F.lit(corpus)).withColumn("embedding", vector).withColumn("terms", lexical.terms(F.col("text")))
+        documents = listed.join(made.groupBy("document_id").agg(page_count(F.col("page_end")).alias("page_count")), "document_id", "left").select(F.col("document_id").alias("id"), F.lit(corpus).alias("corpus_id"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"), F.lit(layer).alias("layer"), F.lit(version).cast("string").alias("version"), F.col("path").alias("source_path"), "sha256", "page_count", F.current_timestamp().alias("ingested_at"))
         refs = chunked.select(F.col("id").alias("from_section_id"), F.posexplode("refs").alias("at", "r")).select("from_section_id", "at", F.col("r.ref_text"), F.col("r.number").alias("ref_number"), F.col("r.kind").alias("ref_kind"), F.lit(corpus).alias("corpus_id"))
         layers = tables["documents"].unionByName(documents).select(F.col("id").alias("document_id"), "layer")
         all_sections = tables["sections"].unionByName(sections)
         refs = extract.resolved(refs, all_sections.join(layers, "document_id"))
-        refs = refs.withColumn("id", (F.row_number().over(W.orderBy("from_section_id", "at")) + bases["cross_refs"]).cast("long"))
+        refs = numbered(refs, ["from_section_id", "at"], bases["cross_refs"])
         of = tables["sections"].select(F.col("id").alias("from_section_id"), "corpus_id")
         older = extract.backfilled(tables["cross_refs"].join(of, "from_section_id", "left"), sections)
         columns = ["id", "from_section_id", "ref_text", "ref_number", "ref_kind", "to_section_id"]
         kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(n) for k, n in (("table", "tables"), ("exception", "exceptions"), ("definition", "definitions"))]
         fit = lambda name, df: df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.schema(name)])
-        changed = {
-            "corpora": self.ensure_corpus(corpus, corpus_title, grammar),
-            "documents": tables["documents"].unionByName(fit("documents", documents)),
-            "sections": tables["sections"].unionByName(fit("sections", sections)),
-            "chunks": tables["chunks"].unionByName(fit("chunks", chunks)),
-            "cross_refs": older.select(*columns).unionByName(fit("cross_refs", refs)),
-        }
-        self.commit(changed)
+        chunks = settled(fit("chunks", chunks))
+        new = {"documents": fit("documents", documents), "sections": fit("sections", sections), "chunks": chunks, "postings": lexical.postings(chunks)}
+        changed = {"corpora": self.ensure_corpus(corpus, corpus_title, grammar), "cross_refs": older.select(*columns).unionByName(fit("cross_refs", refs))}
+        if replaced:
+            changed |= {n: tables[n].select(*new[n].columns).unionByName(new[n]) for n in new}
+            self.commit(changed)
+        else:
+            self.commit(changed, new)
         new = lambda name: self.read(name).where(F.col("id") > bases[name])
         row = new("chunks").agg(F.count("*").alias("chunks"), *kinds).first()
         r = new("cross_refs").agg(F.count("*").alias("cross_refs"), F.count(F.when(F.col("to_section_id").isNull(), 1)).alias("unresolved_refs")).first()
@@ -199,5 +229,5 @@ class Repository:
         order = [f.name for f in schema.schema("ingest_runs")["stats"].dataType]
         run = self.spark.createDataFrame([(time.time_ns(), bases["documents"] + 1, tuple(stats[n] for n in order))], f"id long, document_id long, stats {schema.schema('ingest_runs')['stats'].dataType.simpleString()}")
         done = run.select("id", "document_id", F.current_timestamp().alias("started_at"), F.current_timestamp().alias("finished_at"), F.lit("ok").alias("status"), "stats", F.lit(None).cast("string").alias("error"))
-        self.commit({"ingest_runs": self.read("ingest_runs").unionByName(done)})
+        self.commit({}, {"ingest_runs": done})
         return stats

@@ -252,3 +252,42 @@ def test_fixed_windows_and_watching(spark, tmp_path):
     assert [c["kind"] for c in chunks] == ["body"] * len(chunks) and chunks
     with pytest.raises(ValueError, match="allow_remote"):
         vectors.embedder("openai", 16)
+
+
+def test_a_lost_commit_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    """A run that is lost before its manifest is whole changes nothing, and the next one isn't hurt by what it left."""
+    from lexatlas.sources.store import Repository
+
+    repo = Repository(spark, f"file://{tmp_path}/s")
+    assert repo.version() is None
+    repo.init(dimensions=8)
+    one = repo.ensure_corpus("a", "A", "code")
+    monkeypatch.setattr(Repository, "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        repo.commit({"corpora": one})
+    monkeypatch.undo()
+    (tmp_path / "s" / "_SNAPSHOT.9").touch()  # a manifest that was never written
+    assert repo.version() == 1 and repo.read("corpora").count() == 0
+    assert repo.commit({}, {"corpora": one}) == 2 and repo.read("corpora").count() == 1
+    assert repo.commit({}, {"corpora": repo.ensure_corpus("b", "B", "code").where("id = 'b'")}) == 3 and repo.read("corpora").count() == 2
+    with pytest.raises(OSError):
+        repo._publish(3, {})
+
+
+def test_numbers_are_given_without_one_task(spark):
+    from lexatlas.sources.store import numbered
+
+    df = spark.range(1000).selectExpr("id % 37 AS a", "id AS b")
+    out = numbered(df, ["a", "b"], 50)
+    got = [(r["a"], r["b"]) for r in out.orderBy("id").collect()]
+    assert got == sorted(got) and sorted(r["id"] for r in out.collect()) == list(range(51, 1051))
+
+
+def test_files_that_no_parser_takes_are_told(spark):
+    from lexatlas.sources import files
+
+    known = spark.createDataFrame([("a.md", bytearray(b"# A"), "x")], "path string, content binary, sha256 string")
+    other = spark.createDataFrame([("b.xyz", bytearray(b"?"), "y")], known.schema)
+    assert files.all_blocks(known).count() == 1
+    with pytest.raises(Exception, match="no parser for b.xyz"):
+        files.file_blocks(known.unionByName(other)).collect()
