@@ -14,14 +14,17 @@ from lexatlas.llm._work import drop, saved
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds good and not toxic; the others go. Labels come from the table beside."""
+    """Documents that the classifier finds good and not toxic; the others go. Labels come from the table beside.
+
+    Null and empty texts are judged as empty ones, null ids have no label, repeated rows are judged alike, an empty table stays
+    empty, and other columns, whatever their names, come through."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, model).where("keep").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier in the corpus; n_chars follows. A document none of whose lines is left goes,
-    unless it was blank before."""
+    unless it was blank before. Null texts stay as they are, null ids stand last, and repeated rows lose the same lines."""
     out = line_dedup.dedup_lines(docs, shortest=line_dedup.LEAST, exact=line_dedup.EXACT)
     whole = out.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -48,12 +51,14 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy, edited or not, of a benchmark item."""
+    """Documents without a copy, edited or not, of a benchmark item. Null and empty texts hold none and stay; a row goes by
+    its own text, so rows with one id are judged apart; without items, or without documents, nothing goes."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: documents repeated to their source's target, with ``copy`` from 1."""
+    """The mixed corpus: documents repeated to their source's target, with ``copy`` from 1. A null source is one of its own;
+    null texts have no words but are taken at their source's rate; a column named copy is replaced."""
     return mixing.mix(docs)
 
 

@@ -81,8 +81,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_lm_scoring, op4_token_counts, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_media, op9_secret_scan, op10_line_dedup)}
 
-#: Mixing in DuckDB: the same running sums over sources, and the same MD5 draw.
+#: Words of the texts with A-Z in lower case, and as they are, in DuckDB.
+_LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+#: Set similarity by shingles, windows by hash, and mixing by the same running sums over sources and the same MD5 draw, in DuckDB.
 SQL = {
+    "op1_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOW} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) c ON c.doc_id = s.doc_id
+""",
+    "op7_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: md5(array_to_string(ws[i:i + 49], ' ')))) AS h, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50),
+g AS (SELECT w.doc_id, i FROM w JOIN (SELECT h, min(doc_id) AS first FROM w GROUP BY h) f ON f.h = w.h AND f.first < w.doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+m AS (SELECT x.*, coalesce(max(g.i) OVER (PARTITION BY x.doc_id ORDER BY x.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.p),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+""",
     "op5_mixing": """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS source_size FROM d GROUP BY source),

@@ -101,7 +101,8 @@ def scan(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    known = after.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+    # written before it is joined, so that the join of a blob that very many files share can be split
+    known = saved(after.where(current & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")), "findings")
     base = address(files.drop("findings"), text)
     # the row travels as one struct, so that its columns may have any names
     out = base.select(F.struct(*base.columns).alias("d"), "blob").join(known, "blob", "left")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The forms that open and continue an exception, lead a definition and name another section.
@@ -43,7 +42,7 @@ def split_exceptions(paragraphs: Column) -> Column:
 def split_definitions(body: Column) -> Column:
     """Array of struct(term, definition); at least two terms are needed, empty definitions are left out."""
     terms = F.regexp_extract_all(body, F.lit(TERM), F.lit(1))
-    texts = F.slice(F.split(F.regexp_replace(body, TERM, _MARK), _MARK), 2, 1_000_000)
+    texts = F.slice(F.split(F.regexp_replace(body, TERM, _MARK), _MARK), 2, F.greatest(F.size(terms), F.lit(1)))
     pairs = F.transform(F.arrays_zip(terms.alias("t"), texts.alias("d")), lambda x: F.struct(F.trim(x["t"]).alias("term"), F.regexp_replace(x["d"], r"^\s+|\s+$", "").alias("definition")))
     return F.when(F.size(terms) >= 2, F.filter(pairs, lambda x: x["definition"] != "")).otherwise(F.array().cast("array<struct<term:string,definition:string>>"))
 
@@ -82,7 +81,3 @@ def backfilled(refs: DataFrame, new_sections: DataFrame) -> DataFrame:
     """Dangling ``refs`` pointed at sections of a new document; resolved ones stay as they are."""
     new = new_sections.groupBy("corpus_id", F.col("number").alias("ref_number")).agg(F.min("id").alias("new_id"))
     return refs.join(new, ["corpus_id", "ref_number"], "left").withColumn("to_section_id", F.coalesce("to_section_id", "new_id")).drop("new_id")
-
-
-def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return rows.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("__rn = 1").drop("__rn")

@@ -81,5 +81,5 @@ GRAMMARS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {"code
 
 def grammar(name: str) -> Callable[[Column, Column, Column, Column], Column]:
     if name not in GRAMMARS:
-        raise ValueError(f"unknown grammar '{name}'; available: {', '.join(GRAMMARS)}")
+        raise ValueError(f"no grammar is called {name!r} (available: {', '.join(GRAMMARS)})")
     return GRAMMARS[name]

@@ -166,6 +166,3 @@ def page_count(page_end: Column) -> Column:
 def related(a: Column, b: Column) -> Column:
     """Whether one dotted number is the other's ancestor."""
     return F.startswith(a, F.concat(b, F.lit("."))) | F.startswith(b, F.concat(a, F.lit(".")))
-
-
-__all__ = ["ancestors", "amendments_for", "children", "contents", "details", "document_json", "dotted_depth", "find_sections", "list_chapters", "list_corpora", "nearest_numbers", "referenced_by", "references_out", "section_markdown", "siblings"]

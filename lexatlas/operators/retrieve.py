@@ -44,7 +44,7 @@ class Store:
             known = [r[0] for r in self.corpora.select("id").orderBy("id").collect()]
             for c in corpora:
                 if c not in known:
-                    raise NotFound(f"corpus '{c}' not found; available: {', '.join(known) or 'none'}")
+                    raise NotFound(f"this store has no corpus {c!r} (available: {', '.join(known) or 'none yet'})")
 
 
 def ranked(scored: DataFrame, order: list[Column], limit: int, start: int = 0) -> DataFrame:
@@ -169,7 +169,7 @@ def search(store: Store, embedder: object, query: str, corpora: list[str] | None
     spark: SparkSession = store.chunks.sparkSession
     query, k = query.strip(), max(1, min(int(k), 20))
     if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
+        raise ValueError(f"no search mode {mode!r}; there are {', '.join(MODES)}")
     store.require(corpora)
     base = filtered(store, corpora, kinds, layer, chapter)
     vector = words = None
@@ -223,7 +223,7 @@ def _found(store: Store, number: str, corpus: str | None, prefer: str | None = N
     if row is None:
         near = ", ".join(r["number"] for r in lookup.nearest_numbers(number, s).collect()) or "none"
         where = f" in {corpus}" if corpus else ""
-        raise NotFound(f"section '{number}' not found{where}; nearest: {near}")
+        raise NotFound(f"no section numbered {number}{where}; close to it: {near}")
     return s, row
 
 

@@ -112,8 +112,9 @@ def vector_topk_filtered(spark, sf):  # noqa: ANN001, ANN201
 @query(f"SELECT label, round(max(similarity), 6) AS best, round(greatest(0, max(similarity)), 6) AS top_similarity FROM ({VEC}) GROUP BY label")
 def vector_sim_max(spark, sf):  # noqa: ANN001, ANN201
     v, q = _vectors(spark, sf)
-    best = F.max(vectors.query_dot(F.col("embedding"), q))
-    return v.groupBy("label").agg(F.round(best, 6).alias("best"), F.round(F.greatest(F.lit(0.0), best), 6).alias("top_similarity"))
+    best = F.max("similarity")
+    scored = v.withColumn("similarity", vectors.query_dot(F.col("embedding"), q))
+    return scored.groupBy("label").agg(F.round(best, 6).alias("best"), F.round(F.greatest(F.lit(0.0), best), 6).alias("top_similarity"))
 
 
 @query("SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT AS i, round(unnest(embedding)::DOUBLE * 3 / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * 9), 6) AS x FROM embeddings")
@@ -208,8 +209,9 @@ SELECT round(sim, 4) AS top_similarity, strict AS strict_hits, strict = 0 AND si
 def abstain_flag(spark, sf):  # noqa: ANN001, ANN201
     v, q = _vectors(spark, sf)
     sim = v.where("id != 0").agg(F.max(vectors.query_dot(F.col("embedding"), q)).alias("sim"))
-    strict = lexical.matching(index_of(spark, sf), lexical.parse("zebra")).agg(F.count("*").alias("strict"))
-    return sim.crossJoin(F.broadcast(strict)).select(F.round("sim", 4).alias("top_similarity"), F.col("strict").alias("strict_hits"), ((F.col("strict") == 0) & (F.col("sim") < 0.66)).alias("abstain"))
+    strict = lexical.matching(index_of(spark, sf), lexical.parse("zebra")).count()
+    top = sim.first()["sim"]
+    return spark.createDataFrame([(round(top, 4), strict, retrieve.abstains("hybrid", strict, strict, top, 0.66))], "top_similarity double, strict_hits long, abstain boolean")
 
 
 _AMEND = "SELECT lang AS corpus_id, source AS number, min(doc_id) AS amendment_id FROM documents WHERE doc_id % 5 = 0 GROUP BY 1, 2"

@@ -34,15 +34,6 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return known.select("path", "content", F.sha2("content", 256).alias("sha256"))
 
 
-def require_known(path: str) -> str:
-    """The parser's name for a path."""
-    end = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    for name, ends in (("markdown", MARKDOWN), ("pdf", PDF), ("html", HTML), ("docx", DOCX)):
-        if end in ends:
-            return name
-    raise ValueError(f"unsupported file type: .{end}")
-
-
 # ---------------------------------------------------------------- markdown, all native
 
 #: The line forms of Markdown that are told apart.

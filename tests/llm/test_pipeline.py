@@ -50,3 +50,16 @@ def test_near_duplicate_stage_decides_by_row(spark):
     assert len([g for g in got if g[1] == a or g[1] == a + " more"]) == 1 and got.count((2, b)) == 1 and got.count((3, c)) == 1
     assert len([g for g in got if g[1] and g[1].startswith(d)]) == 1 and len([g for g in got if g[1] and g[1].startswith(e)]) == 1
     assert got.count((5, "")) == 2 and got.count((None, None)) == 1 and len(got) == 8  # rows without words are in no group
+
+
+def test_every_stage_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Nulls, repeats, long texts and clashing names pass all stages; an empty table gives an empty one."""
+    spark.createDataFrame([(1, "a benchmark item of ten words that stands nowhere else")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.count() <= odd.count()
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    mixed = cp.STAGES[-1][1](spark, odd, str(tmp_path))
+    assert set(mixed.columns) == set(odd.columns) and mixed.where("copy not between 1 and 3").count() == 0
+    assert cp.STAGES[-1][1](spark, none, str(tmp_path)).count() == 0
