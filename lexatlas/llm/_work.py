@@ -25,10 +25,13 @@ def _tidy() -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only where that is unset and all
+    runs on this machine. On a cluster its executors would write to disks of their own, so there an unset folder is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lexatlas-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
