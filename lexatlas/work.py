@@ -15,11 +15,14 @@ _own: list[str] = []
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once and read again, so that what is used several times is computed once and plans stay small.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset.
+    The folder is the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all
+    runs on this machine.
     """
     spark = df.sparkSession
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lexatlas-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
