@@ -191,7 +191,7 @@ def test_lookup_and_context(store, spark):
     st = repo.open()
     d = retrieve.get_section(st, "Section 1004.5", "town").first()
     assert d["layer"] == "amendment"
-    with pytest.raises(NotFound, match="nearest: .*1004"):
+    with pytest.raises(NotFound, match="close to it: .*1004"):
         retrieve.get_section(st, "1004.7", "town")
     c = retrieve.get_context(st, "1004.5", "town")
     assert [a["number"] for a in c["ancestors"]] == ["10", "1004"]
