@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, lm_scoring, media, mixing, quality, secrets, substring_dedup, token_counts
+from . import decontamination, jaccard_join, line_dedup, lm_scoring, media, mixing, quality, ranked_search, secrets, sharding, substring_dedup, token_counts
 from ._work import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,10 +79,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_lm_scoring, op4_token_counts, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_media, op9_secret_scan, op10_line_dedup)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return ranked_search.search(docs, items)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_decontamination, op3_lm_scoring, op4_token_counts, op5_mixing, op6_quality_classifier, op7_substring_dedup, op8_media, op9_secret_scan, op10_line_dedup, op11_sharding, op12_ranked_search)}
 
 #: Words of the texts with A-Z in lower case, and as they are, in DuckDB.
 _LOW = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 #: Set similarity by shingles, windows by hash, and mixing by the same running sums over sources and the same MD5 draw, in DuckDB.
@@ -119,5 +130,16 @@ j AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN leas
 SELECT doc_id, size, source_size::BIGINT AS source_size, target,
   ((floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM j
+""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT doc_id, len({_TERMS}) AS n, {_TERMS} AS ts FROM documents),
+c AS (SELECT count(*) FILTER (n > 0)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM d),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+w AS (SELECT item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN f USING (term), c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // tokens))))::BIGINT AS score FROM w JOIN p USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """,
 }
