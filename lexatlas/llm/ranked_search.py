@@ -96,11 +96,19 @@ def _counted(most: int, postings: int):  # noqa: ANN202
     return count
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many postings, one row at least."""
+    for batch in batches:
+        ends, at = batch.column("terms").offsets.to_numpy(), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents' terms and counts to lists of places and bytes, one for each block and term of a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in _parts(batches):
         terms, tfs = batch.column("terms"), batch.column("tfs").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
         words = terms.flatten().dictionary_encode()
