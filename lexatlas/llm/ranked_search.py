@@ -212,7 +212,8 @@ def search(docs: DataFrame, items: DataFrame, index: Index | None = None, top: i
     # the exact level of the documents that are left
     picked = _sized(saved(some.select("block", "at").distinct(), "search-picked"))
     exact = index.forward.join(picked, ["block", "at"], "left_semi").withColumn("m", F.lit(50) + F.expr(f"(50 * n * {index.documents}L) div {max(1, index.tokens)}L"))
-    exact = saved(exact.select("block", "at", "h", "h2", "first", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("block", "at", "h", "h2", "first", "m", F.col("t.terms").alias("term"), F.col("t.tfs").cast("long").alias("tf")), "search-exact")
+    exact = exact.select("block", "at", "h", "h2", "first", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("block", "at", "h", "h2", "first", "m", F.col("t.terms").alias("term"), F.col("t.tfs").cast("long").alias("tf"))
+    exact = saved(exact.join(held, "term", "left_semi"), "search-exact")
     share = F.expr("w * ((1000000000L * tf) div (1000L * tf + 20L * m))")
     scored = some.select("q", "block", "at").join(asked, "q").join(exact, ["block", "at", "term"]).groupBy("q", "h", "h2", "first").agg(F.sum(share).alias("score")).where("score > 0")
     best = lambda first: W.partitionBy("q").orderBy(F.col("score").desc(), F.col(first).asc_nulls_last())
