@@ -16,6 +16,8 @@ from lexatlas.operators.grammar import DEFINITIONS
 #: Fixed value: where a sentence may be cut.
 SENTENCE = r"(?<=[.;:])\s+(?=[A-Z0-9(])"
 #: A token of the default counter: a word or a sign.
+#: A token with the white space before it, and white space at a text's start.
+SPACED, LEAD = r"[\x20\x09-\x0D]*(?:[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}])", r"^[\x20\x09-\x0D]+"
 WORD = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -92,6 +94,17 @@ def windows(tokens: DataFrame, size: int = 512) -> DataFrame:
     return texts.where("text != ''").join(best, ["document", "window"])
 
 
+def fixed_windows(text: Column, size: int = 512) -> Column:
+    """Array of struct(window, n_tokens, text): a text's windows of ``size`` tokens, made within its row.
+
+    White space stays with the token after it, but for a window's ends; blank and null texts have no windows.
+    """
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPACED), F.lit(0))
+    piece = lambda w: F.slice(found, w * size + 1, F.lit(size))
+    one = lambda w: F.struct(w.cast("int").alias("window"), F.size(piece(w)).alias("n_tokens"), F.regexp_replace(F.array_join(piece(w), ""), LEAD, "").alias("text"))
+    return F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int")), one)).otherwise(F.array().cast("array<struct<window:int,n_tokens:int,text:string>>"))
+
+
 def section_tokens(sections: DataFrame) -> DataFrame:
     """(document, pos, owner, token) of concatenated sections: label, body, tables; white space stays with its token."""
     tables = F.array_join(F.transform("tables", lambda t: F.concat(t["caption"], F.lit("\n"), t["markdown"])), "\n")

@@ -7,26 +7,29 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written once and read again, so that what is used several times is computed once and plans stay small.
+def folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on this
+    machine."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="lexatlas-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all
-    runs on this machine.
-    """
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again, so that what is used several times is computed once and plans
+    stay small."""
     spark = df.sparkSession
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="lexatlas-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        at = _own[0]
-    path = f"{at.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
