@@ -31,8 +31,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def query_dot(vector: Column, query: list[float]) -> Column:
-    """Dot product with a literal vector, one product for each element: no lambda, so it stays inside code generation."""
-    return sum((F.get(vector, i).cast("double") * float(x) for i, x in enumerate(query)), F.lit(0.0))
+    """Dot product with a literal vector."""
+    return dot(vector, F.array(*[F.lit(float(x)) for x in query]))
 
 
 def bow_tokens(text: Column) -> Column:

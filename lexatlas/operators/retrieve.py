@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +13,7 @@ from pyspark.sql import functions as F
 from lexatlas.errors import NotFound
 from lexatlas.functions import lexical
 from lexatlas.functions.numbers import in_chapter, strip_ref_prefix
-from lexatlas.functions.vectors import query_dot
-from lexatlas.operators import extract, lookup
+from lexatlas.operators import batch, extract, lookup
 from lexatlas.settings import Settings
 
 MODES = ("vector", "lexical", "hybrid")
@@ -54,9 +54,10 @@ def ranked(scored: DataFrame, order: list[Column], limit: int, start: int = 0) -
 
 
 def vector_candidates(base: DataFrame, query: list[float], limit: int = 40) -> DataFrame:
-    """(id, similarity, rank): exact nearest chunks by dot product of unit vectors, ids breaking ties."""
-    scored = base.where("embedding is not null").select("id", query_dot(F.col("embedding"), query).alias("similarity"))
-    return ranked(scored, [F.col("similarity").desc(), F.col("id")], limit)
+    """(id, similarity, rank): exact nearest chunks by dot product of unit vectors, ids breaking ties. Each task multiplies its
+    rows as a matrix and keeps ``limit`` of them."""
+    found = base.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(batch.topmost(np.array([query], np.float64), limit), "q long, id long, similarity double")
+    return ranked(found.select("id", "similarity"), [F.col("similarity").desc(), F.col("id")], limit)
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:

@@ -7,13 +7,16 @@ are chunk vectors.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexatlas.functions import lexical, numbers, vectors
-from lexatlas.operators import chunking, evaluate, extract, lookup, retrieve, tree
+from lexatlas.operators import batch, chunking, evaluate, extract, lookup, retrieve, tree, vector_index
 from lexatlas.sources import files
+from lexatlas.work import folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -124,6 +127,48 @@ def l2_normalize(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(unit).alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+_PAIRS = "SELECT q.vec_id AS question, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
+_NEAREST = f"SELECT question, id, similarity, row_number() OVER (PARTITION BY question ORDER BY similarity DESC, id) AS rank FROM ({_PAIRS})"
+_NEAR40 = f"SELECT question, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM ({_NEAREST}) WHERE rank <= 40"
+
+
+def _asking(v: DataFrame) -> DataFrame:
+    """The rows that ask: those whose id is a multiple of 100."""
+    return v.where(F.col("id") % 100 == 0).select(F.col("id").alias("question"), "embedding")
+
+
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, vector_index.VectorIndex]:
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return v, vector_index.build(v, f"{folder(spark)}/vectors-{uuid.uuid4().hex}")
+
+
+@query(_NEAR40)
+def batch_vector_topk(spark, sf):  # noqa: ANN001, ANN201
+    v, _ = _vectors(spark, sf)
+    return batch.nearest(v, _asking(v)).select("question", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(_NEAR40)
+def vector_index_topk(spark, sf):  # noqa: ANN001, ANN201
+    """Exact search through the inverted-file index: lists that can't win aren't read."""
+    v, index = _indexed(spark, sf)
+    return index.search(_asking(v)).select("question", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"SELECT question, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM (SELECT question, p.id, similarity, row_number() OVER (PARTITION BY question ORDER BY similarity DESC, p.id) AS rank FROM ({_PAIRS}) p JOIN embeddings e ON e.vec_id = p.id WHERE e.label IN (1, 3, 5)) WHERE rank <= 40")
+def vector_index_filtered(spark, sf):  # noqa: ANN001, ANN201
+    v, index = _indexed(spark, sf)
+    found = index.search(_asking(v), only=v.where(F.col("label").isin(1, 3, 5)))
+    return found.select("question", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query()
+def vector_index_recall(spark, sf):  # noqa: ANN001, ANN201
+    """The share of the 40 nearest that the calibrated probes find, by question; a test holds its mean at 0.9 or more."""
+    v, index = _indexed(spark, sf)
+    return vector_index.recall(index.search(_asking(v), exact=False), batch.nearest(v, _asking(v)))
+
+
 @query(f"""WITH b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INT AS bucket, count(*) AS n FROM ({TOK}) GROUP BY 1, 2)
 SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS x FROM b""")
 def hashed_bow_embed(spark, sf):  # noqa: ANN001, ANN201
