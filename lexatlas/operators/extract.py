@@ -17,26 +17,20 @@ _MARK = "\u0001"
 def split_exceptions(paragraphs: Column) -> Column:
     """struct(body, exceptions) of an array of paragraphs.
 
-    A paragraph that begins with ``Exception:`` opens a block; list items go on with it, and so does anything while its last
-    paragraph doesn't end in a full stop, semicolon or colon.
+    Paragraphs fall into runs: one belongs to the run before it if it is a list item, or if the paragraph before it doesn't end in a
+    full stop, semicolon or colon; one that begins with ``Exception:`` starts a run in any case. Runs that begin so are exceptions, a line
+    for each paragraph; all others are body. Null gives empty arrays.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("body"), empty.alias("done"), empty.alias("cur"))
-
-    def step(acc: Column, p: Column) -> Column:
-        closed = F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["cur"], "\n")))).otherwise(acc["done"])
-        opens = p.rlike(EXCEPTION)
-        goes_on = (F.size(acc["cur"]) > 0) & (p.rlike(ITEM) | ~F.rtrim(F.element_at(acc["cur"], -1)).rlike(r"[.;:]$"))
-        body = F.when(opens | goes_on, acc["body"]).otherwise(F.concat(acc["body"], F.array(p)))
-        done = F.when(opens | ~goes_on, closed).otherwise(acc["done"])
-        cur = F.when(opens, F.array(F.trim(p))).when(goes_on, F.concat(acc["cur"], F.array(F.trim(p)))).otherwise(empty)
-        return F.struct(body.alias("body"), done.alias("done"), cur.alias("cur"))
-
-    def finish(acc: Column) -> Column:
-        last = F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["cur"], "\n")))).otherwise(acc["done"])
-        return F.struct(acc["body"].alias("body"), last.alias("exceptions"))
-
-    return F.aggregate(paragraphs, start, step, finish)
+    p = F.coalesce(paragraphs, F.array().cast("array<string>"))
+    opens = F.transform(p, lambda x: x.rlike(EXCEPTION))
+    ends = F.transform(p, lambda x: F.rtrim(x).rlike(r"[.;:]$"))
+    starts = F.transform(p, lambda x, i: F.get(opens, i) | (i == 0) | ~(x.rlike(ITEM) | ~F.get(ends, i - 1)))
+    place = F.filter(F.transform(starts, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())
+    stop = F.concat(F.slice(place, 2, F.greatest(F.size(place), F.lit(1))), F.array(F.size(p)))
+    runs = F.transform(F.arrays_zip(place.alias("at"), stop.alias("to")), lambda r: F.when(r["at"].isNotNull(), F.struct(F.get(opens, r["at"]).alias("out"), F.slice(p, r["at"] + 1, r["to"] - r["at"]).alias("ps"))))
+    runs = F.filter(runs, lambda r: r.isNotNull())
+    text = lambda r: F.array_join(F.transform(r["ps"], lambda x: F.trim(x)), "\n")
+    return F.struct(F.flatten(F.transform(F.filter(runs, lambda r: ~r["out"]), lambda r: r["ps"])).alias("body"), F.transform(F.filter(runs, lambda r: r["out"]), text).alias("exceptions"))
 
 
 def split_definitions(body: Column) -> Column:
