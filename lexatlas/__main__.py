@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
             repo.reset()
         elif a.what == "ingest":
             corpus = f"{a.corpus}__naive" if a.naive else a.corpus
-            print(json.dumps(repo.ingest(files.scan(spark, a.path), files.all_blocks, corpus, a.title, a.grammar, a.layer, emb, a.force, a.naive)))
+            print(json.dumps(repo.ingest(files.scan(spark, a.path), files.parsed, corpus, a.title, a.grammar, a.layer, emb, a.force, a.naive)))
         elif a.what == "remove":
             repo.delete(a.document)
         elif a.what == "corpora":

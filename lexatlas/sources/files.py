@@ -177,7 +177,8 @@ LINE_DDL = "document string, page int, n int, text string, size double, bold boo
 
 
 def pdf_lines(files: DataFrame) -> DataFrame:
-    """Lines and tables of PDF files, with the largest font size and whether any part is bold. Needs PyMuPDF on executors."""
+    """Lines and tables of PDF files, with the largest font size and whether any part is bold, and for each page a row without text,
+    so that pages without lines are seen. A file that can't be read has one row, without a page, that holds the error as its text. Needs PyMuPDF on executors."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
@@ -187,7 +188,13 @@ def pdf_lines(files: DataFrame) -> DataFrame:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
-                for number, page in enumerate(fitz.open(stream=content, filetype="pdf"), 1):
+                try:
+                    pages = list(fitz.open(stream=content, filetype="pdf"))
+                except Exception as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}", None, False, False))
+                    continue
+                for number, page in enumerate(pages, 1):
+                    rows.append((path, number, -1, None, None, False, False))
                     n = 0
                     for block in page.get_text("dict")["blocks"]:
                         for line in block.get("lines", []):
@@ -198,7 +205,7 @@ def pdf_lines(files: DataFrame) -> DataFrame:
                     for table in page.find_tables().tables:
                         rows.append((path, number, n, pipe_table([[str(c or "").strip() for c in r] for r in table.extract()]), None, False, True))
                         n += 1
-            yield pd.DataFrame(rows, columns=["document", "page", "n", "text", "size", "bold", "is_table"])
+            yield pd.DataFrame(rows, columns=["document", "page", "n", "text", "size", "bold", "is_table"]).astype({"page": "Int32", "n": "Int32"})
 
     return files.mapInPandas(run, LINE_DDL)
 
@@ -218,12 +225,12 @@ def body_sizes(lines: DataFrame, default: float = 10.0) -> DataFrame:
     return lines.select("document").distinct().join(most, "document", "left").select("document", F.coalesce("body", F.lit(default)).alias("body"))
 
 
-def check_scanned(lines: DataFrame, pages: DataFrame, share: float = 0.5) -> DataFrame:
-    """Documents of ``pages`` (document, page) of which at least ``share`` have text; others raise when read."""
-    texts = lines.select("document", "page").distinct().withColumn("has", F.lit(1))
-    seen = pages.join(texts, ["document", "page"], "left").groupBy("document").agg(F.avg(F.coalesce("has", F.lit(0))).alias("seen"))
-    bad = F.concat(F.lit("no text on most pages, scanned? "), F.col("document"))
-    return seen.select(F.when(F.col("seen") < share, F.raise_error(bad).cast("string")).otherwise(F.col("document")).alias("document"))
+def scanned(lines: DataFrame, share: float = 0.5) -> DataFrame:
+    """(document, error) of documents of which less than ``share`` of the pages have text. ``lines`` are as :func:`pdf_lines` makes them, and
+    a document without pages is one of these, too."""
+    pages = lines.where("page is not null").groupBy("document", "page").agg(F.max(F.col("text").isNotNull().cast("int")).alias("has"))
+    seen = pages.groupBy("document").agg(F.avg("has").alias("seen"))
+    return seen.where(F.col("seen") < share).select("document", F.concat(F.lit("no text on most pages, scanned? "), F.col("document")).alias("error"))
 
 
 def pdf_blocks(lines: DataFrame, larger: float = 1.15) -> DataFrame:
@@ -249,39 +256,53 @@ def pdf_blocks(lines: DataFrame, larger: float = 1.15) -> DataFrame:
 # ---------------------------------------------------------------- all files
 
 
-def file_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of Markdown, HTML and DOCX files, each by the parser of its type; ``document`` is the path. A file of another type
-    raises when it is read: :func:`all_blocks` takes PDF files, too."""
-    end = suffix(F.col("path"))
-    other = F.raise_error(F.concat(F.lit("no parser for "), "path")).cast("string")
-    files = files.withColumn("path", F.when(end.isin(*MARKDOWN, *HTML, *DOCX), F.col("path")).otherwise(other))
-    marked = files.where(end.isin(*MARKDOWN)).select(F.col("path").alias("document"), F.decode("content", "UTF-8").alias("text"))
+def parsed(files: DataFrame) -> DataFrame:
+    """Blocks of all files, each by the parser of its type, with ``error``: a file that can't be parsed has one row, with its error
+    and no block, and the other files have their blocks. ``document`` is the path. PDF files need PyMuPDF on executors."""
+    end = F.coalesce(suffix(F.col("path")), F.lit(""))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for path, content in zip(part["path"], part["content"], strict=True):
-                found = parse_docx(content) if path.lower().endswith("docx") else parse_html(content.decode("utf-8", "replace"))
-                rows += [(path, i, kind, text, None, level, None, False) for i, (kind, text, level) in enumerate(found)]
-            out = pd.DataFrame(rows, columns=["document", "ord", "kind", "text", "page", "level", "font_size", "bold"])
-            yield out.astype({"page": "Int32", "level": "Int32"})
+                try:
+                    found = parse_docx(content) if path.lower().endswith("docx") else parse_html(content.decode("utf-8", "replace"))
+                except Exception as e:
+                    rows.append((path, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    continue
+                rows += [(path, i, kind, text, None, level, None, False, None) for i, (kind, text, level) in enumerate(found)]
+            out = pd.DataFrame(rows, columns=["document", "ord", "kind", "text", "page", "level", "font_size", "bold", "error"])
+            yield out.astype({"ord": "Int32", "page": "Int32", "level": "Int32"})
+
+    fine = lambda df: df.withColumn("error", F.lit(None).cast("string"))
+    out = fine(markdown_blocks(files.where(end.isin(*MARKDOWN)).select(F.col("path").alias("document"), F.decode("content", "UTF-8").alias("text"))))
+    failed = lambda df: df.select("document", *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[1:-1]], "error")
+    out = out.unionByName(files.where(end.isin(*HTML, *DOCX)).select("path", "content").mapInPandas(run, f"{BLOCK_DDL}, error string"))
+    out = out.unionByName(failed(files.where(~end.isin(*SUFFIXES)).select(F.col("path").alias("document"), F.concat(F.lit("no parser for "), "path").alias("error"))))
+    pdf = files.where(end.isin(*PDF)).select("path", "content")
+    if pdf.select("path").isEmpty():
+        return out
+    lines = settled(pdf_lines(pdf))
+    broken = lines.where("page is null").select("document", F.col("text").alias("error")).unionByName(scanned(lines))
+    read = lines.where("page is not null and text is not null").join(broken.select("document"), "document", "left_anti")
+    return out.unionByName(fine(pdf_blocks(read))).unionByName(failed(broken))
+
+
+def _strict(blocks: DataFrame) -> DataFrame:
+    """The blocks of :func:`parsed`; a file's error is raised where it is met."""
+    return blocks.withColumn("document", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")).otherwise(F.col("document"))).drop("error")
 
-    marked_up = files.where(end.isin(*HTML, *DOCX)).select("path", "content").mapInPandas(run, BLOCK_DDL)
-    return markdown_blocks(marked).unionByName(marked_up)
+
+def file_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of Markdown, HTML and DOCX files; a file of another type, or one that can't be parsed, raises when it is read."""
+    end = suffix(F.col("path"))
+    other = F.raise_error(F.concat(F.lit("no parser for "), "path")).cast("string")
+    return _strict(parsed(files.withColumn("path", F.when(end.isin(*MARKDOWN, *HTML, *DOCX), F.col("path")).otherwise(other))))
 
 
 def all_blocks(files: DataFrame) -> DataFrame:
     """As :func:`file_blocks`, with PDF files, which need PyMuPDF; those with no text on most pages raise."""
-    end = suffix(F.col("path"))
-    pdf = files.where(end.isin(*PDF)).select("path", "content")
-    out = file_blocks(files.where(~F.coalesce(end.isin(*PDF), F.lit(False))))
-    if pdf.select("path").isEmpty():
-        return out
-    lines = settled(pdf_lines(pdf))
-    # pages without text have no lines: a document's pages are counted up to its last line
-    pages = lines.groupBy("document").agg(F.max("page").alias("last")).select("document", F.explode(F.sequence(F.lit(1), "last")).alias("page"))
-    read = lines.join(check_scanned(lines, pages), "document", "left_semi")
-    return out.unionByName(pdf_blocks(read))
+    return _strict(parsed(files))
 
 
 def page_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

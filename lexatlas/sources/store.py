@@ -157,8 +157,9 @@ class Repository:
     def ingest(self, files: DataFrame, blocks: Callable[[DataFrame], DataFrame], corpus: str, corpus_title: str, grammar: str = "code", layer: str = "base", embedder: object | None = None, force: bool = False, naive: bool = False, version: str | None = None) -> dict:
         """Ingest scanned files (path, content, sha256) into a corpus as one snapshot; returns counts.
 
-        Bytes that the corpus holds already are refused, or replaced with ``force``. A failure leaves the tables as they are
-        and is recorded in ingest_runs.
+        Bytes that the corpus holds already are refused, or replaced with ``force``. Where ``blocks`` tells errors, as :func:`files.parsed`
+        does, files that can't be parsed are recorded in ingest_runs, each with its error, and the others are ingested. Any other failure leaves
+        the tables as they are and is recorded in ingest_runs.
         """
         if layer not in schema.LAYERS:
             raise ValueError(f"layer must be one of {schema.LAYERS}")
@@ -167,11 +168,14 @@ class Repository:
         except AlreadyIngested:
             raise
         except Exception as e:
-            run = self.spark.createDataFrame([(time.time_ns(), "failed", str(e)[:2000])], "id long, status string, error string")
-            done = run.select("id", F.lit(None).cast("long").alias("document_id"), F.current_timestamp().alias("started_at"), F.current_timestamp().alias("finished_at"), "status", F.lit(None).cast(schema.schema("ingest_runs")["stats"].dataType).alias("stats"), "error")
-            self.commit({}, {"ingest_runs": done})
+            self.commit({}, {"ingest_runs": self._failures(self.spark.createDataFrame([(str(e)[:2000],)], "error string"))})
             raise
 
+    def _failures(self, errors: DataFrame) -> DataFrame:
+        """Rows of ingest_runs for ``errors`` (error)."""
+        none = F.lit(None)
+        return errors.select((F.lit(time.time_ns()) + F.monotonically_increasing_id()).alias("id"), none.cast("long").alias("document_id"), F.current_timestamp().alias("started_at"), F.current_timestamp().alias("finished_at"), F.lit("failed").alias("status"), none.cast(schema.schema("ingest_runs")["stats"].dataType).alias("stats"), "error")
+
     def _ingest(self, files, blocks, corpus, corpus_title, grammar, layer, embedder, force, naive, version) -> dict:  # noqa: ANN001
         known = self.read("documents").where(F.col("corpus_id") == corpus)
         twice = known.join(files.select("sha256").distinct(), "sha256", "left_semi")
@@ -183,11 +187,23 @@ class Repository:
         replaced = twice.first() is not None
         top = lambda t: (t.agg(F.max("id")).first()[0] or 0)
         bases = {n: top(tables[n]) for n in tables if n != "postings"}
+        found = blocks(files)
+        if "error" in found.columns:
+            found = settled(found)
+            broken = settled(found.where("error is not null").select(F.col("document").alias("path"), "error"))
+            if not broken.isEmpty():
+                self.commit({}, {"ingest_runs": self._failures(broken.select(F.concat("path", F.lit(": "), "error").alias("error")))})
+                files = files.join(broken, "path", "left_anti")
+                if files.select("path").isEmpty():
+                    return dict.fromkeys([f.name for f in schema.schema("ingest_runs")["stats"].dataType], 0)
+            found = found.where("error is null").drop("error")
         # of files with one content the first path counts; ids follow the paths' order
         first = settled(files.groupBy("sha256").agg(F.min("path").alias("path")))
         files = files.join(first, ["sha256", "path"], "left_semi")
         listed = settled(numbered(first.select("path", "sha256"), ["path"], bases["documents"], "document_id"))
-        made = tree.tag_amendments(tree.build(blocks(files), grammar, corpus_title), layer)
+        # blocks were made of all files, those of the same bytes among them
+        found = found.join(first.select(F.col("path").alias("document")), "document", "left_semi")
+        made = tree.tag_amendments(tree.build(found, grammar, corpus_title), layer)
         made = made.join(listed.withColumnRenamed("path", "document"), "document")
         made = settled(numbered(made, ["document_id", "ordinal"], bases["sections"]))
         if naive:
