@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexatlas.functions import lexical, numbers, vectors
-from lexatlas.operators import batch, chunking, evaluate, extract, lookup, retrieve, tree, vector_index
+from lexatlas.operators import batch, chunking, evaluate, extract, lookup, retrieve, term_index, tree, vector_index
 from lexatlas.sources import files
 from lexatlas.work import folder
 
@@ -199,10 +199,89 @@ def lexical_and_match(spark, sf):  # noqa: ANN001, ANN201
     return lexical.matching(index_of(spark, sf), q).select(F.col("key").alias("id"))
 
 
-@query()
+def _cover(terms: list[str], toks: str = "unnest(ts) AS term") -> str:
+    """Cover density by windows: at each place the last place of each term; their least is an extent's start, which is new when it moves."""
+    last = ", ".join(f"max(CASE WHEN term = '{t}' THEN p END) OVER w AS t{i}" for i, t in enumerate(terms))
+    names = [f"t{i}" for i in range(len(terms))]
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""
+WITH t AS (SELECT doc_id, {toks}, generate_subscripts(ts, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents)),
+o AS (SELECT doc_id, p, {last} FROM t WHERE term IN ({listed}) WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT doc_id, p, least({", ".join(names)}) AS start FROM o WHERE {" AND ".join(f"{n} IS NOT NULL" for n in names)}),
+g AS (SELECT doc_id, p, start, lag(start) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s),
+r AS (SELECT doc_id AS id, round(sum(0.1::DOUBLE / (1 + greatest(0, p - start + 1 - {len(terms)}))), 6) AS score FROM g WHERE before IS NULL OR start > before GROUP BY doc_id)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM r ORDER BY score DESC, id LIMIT 40"""
+
+
+@query(_cover(TERMS))
 def cover_density_rank(spark, sf):  # noqa: ANN001, ANN201
     q = lexical.Query([[[t] for t in TERMS]])
-    return _top(lexical.matching(index_of(spark, sf), q)).select("id", F.round("score", 6).alias("score"), "rank")
+    return _top(lexical.matching(index_of(spark, sf), q).withColumn("score", F.round("score", 6))).select("id", "score", "rank")
+
+
+def _term_index(spark: SparkSession, sf: str, stems: bool = False) -> term_index.TermIndex:
+    # ranges of 64 keys, so that these tables have several
+    return term_index.build(index_of(spark, sf), f"{folder(spark)}/terms-{uuid.uuid4().hex}", stems, 64)
+
+
+@query(f"SELECT id, round(score, 4) AS score FROM ({_OR}) ORDER BY score DESC, id LIMIT 40")
+def term_index_topk(spark, sf):  # noqa: ANN001, ANN201
+    """The clustered index, range by range while its bound reaches the k-th score."""
+    found = _term_index(spark, sf).any_of(TERMS)
+    return found.select(F.col("key").alias("id"), F.round("score", 4).alias("score"))
+
+
+@query(_cover(TERMS))
+def term_index_cover_density(spark, sf):  # noqa: ANN001, ANN201
+    found = _term_index(spark, sf).all_of(lexical.Query([[[t] for t in TERMS]]))
+    return _top(found.withColumn("score", F.round("score", 6))).select("id", "score", "rank")
+
+
+_ASKED = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{lexical.TOKEN}')) AS term, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '{lexical.TOKEN}'), 1) AS pos FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY doc_id, term),
+a AS (SELECT doc_id AS question, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS r FROM t WHERE doc_id % 100 = 0 GROUP BY doc_id, term) WHERE r <= 12),
+m AS (SELECT question, count(*) AS need FROM a GROUP BY question),
+g AS (SELECT question, doc_id AS id, count(*) = need AS full_match, sum(n)::BIGINT AS places FROM a JOIN tf USING (term) JOIN m USING (question) GROUP BY question, doc_id, need),
+l AS (SELECT question, id, places, row_number() OVER (PARTITION BY question ORDER BY full_match DESC, places DESC, id)::INT AS rank FROM g)"""
+
+
+def _batch_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents whose id is a multiple of 100 ask with their first twelve terms."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = batch.question_terms(d.where(F.col("id") % 100 == 0).select(F.col("id").alias("question"), "text"), most=12, stop=[])
+    return batch.lexical_best(batch.matches(batch.places(d, asked, stop=[]), asked))
+
+
+@query(f"WITH {_ASKED} SELECT * FROM l WHERE rank <= 40")
+def batch_lexical_topk(spark, sf):  # noqa: ANN001, ANN201
+    return _batch_lexical(spark, sf)
+
+
+@query(f"""WITH {_ASKED}, v AS ({_NEAREST}),
+b AS (SELECT question, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT question, id, rank FROM l WHERE rank <= 40 UNION ALL SELECT question, id, rank FROM v WHERE rank <= 40) GROUP BY question, id)
+SELECT * FROM (SELECT question, id, round(score, 6) AS score, row_number() OVER (PARTITION BY question ORDER BY score DESC, id)::INT AS rank FROM b) WHERE rank <= 10""")
+def batch_rrf(spark, sf):  # noqa: ANN001, ANN201
+    v, _ = _vectors(spark, sf)
+    found = batch.fused([batch.nearest(v, _asking(v)), _batch_lexical(spark, sf)], 10)
+    return found.select("question", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _stem_sql(c: str) -> str:
+    """The stemmer's steps in SQL."""
+    a = c
+    for pattern in term_index.PLURALS:
+        a = f"regexp_replace({a}, '{pattern}', '\\1')"
+    b = f"regexp_replace({a}, '{term_index.FORMS}', '\\1')"
+    out = f"(CASE WHEN {b} <> {a} AND regexp_matches({b}, '{term_index.DOUBLED}') THEN left({b}, -1) ELSE {b} END)"
+    for pattern, more in term_index.ENDS:
+        out = f"regexp_replace({out}, '{pattern}', '\\1{more}')"
+    return f"(CASE WHEN regexp_full_match({c}, '[a-z]{{4,}}') THEN {out} ELSE {c} END)"
+
+
+@query(f"SELECT stem AS term, count(DISTINCT doc_id) AS df, count(*) AS n FROM ({TOK}) t JOIN (SELECT term, {_stem_sql('term')} AS stem FROM (SELECT DISTINCT term FROM ({TOK}))) USING (term) GROUP BY stem")
+def stemmed_postings(spark, sf):  # noqa: ANN001, ANN201
+    rows = term_index.stemmed(index_of(spark, sf))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("places")).cast("long").alias("n"))
 
 
 @query("""WITH t AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)),
