@@ -65,15 +65,19 @@ def grammar_plain(spark, sf):  # noqa: ANN001, ANN201
     return _headings(_forms(spark, sf, *_PLAIN), "plain")
 
 
-@query("SELECT * FROM (VALUES ('code', true), ('rules', true), ('plain', true), ('other', false)) t(name, known)")
+@query("SELECT n_nationkey, ['code', 'rules', 'plain', 'other'][n_nationkey % 4 + 1] AS name, n_nationkey % 4 < 3 AS known FROM nation")
 def grammar_registry(spark, sf):  # noqa: ANN001, ANN201
+    """Each nation names a grammar; the registry says whether it has it."""
+
     def known(name: str) -> bool:
         try:
             return grammar.grammar(name) is grammar.GRAMMARS[name]
         except ValueError:
             return False
 
-    return spark.createDataFrame([(n, known(n)) for n in ("code", "rules", "plain", "other")], "name string, known boolean")
+    names = ("code", "rules", "plain", "other")
+    asked = table(spark, sf, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("name"))
+    return asked.withColumn("known", F.col("name").isin(*[n for n in names if known(n)]))
 
 
 @query("""SELECT n_nationkey, list_aggregate(list_transform(string_split(n_name || ' OF ' || r_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS title, 'Mixed ' || n_name AS mixed FROM nation JOIN region ON r_regionkey = n_regionkey""")
@@ -95,10 +99,10 @@ def monotonic_guard(spark, sf):  # noqa: ANN001, ANN201
 
 
 def stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of 40 documents: a preface; for each order a heading, its line items as paragraphs, and for every second one a
+    """Blocks of documents of 8,000 orders at most, whose number grows with the orders: a preface; for each order a heading, its line items as paragraphs, and for every second one a
     captioned table, which names its own section or, for every fourth, the document's first. Every third heading has its title
     in a second one."""
-    o = table(spark, sf, "orders").select("o_orderkey", _text(F.col("o_custkey") % 40).alias("document"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat_ws("-", _text(F.col("o_custkey") % 40), _text(F.floor(F.col("o_orderkey") / 8000).cast("long"))).alias("document"))
     o = o.withColumn("rn", F.row_number().over(W.partitionBy("document").orderBy("o_orderkey")))
     number, at = _text(F.col("rn") + 1000), F.col("rn") * 64
     page = (F.col("rn") / 4).cast("int") + 1
@@ -107,7 +111,7 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
         return df.select("document", ord_.cast("int").alias("ord"), F.lit(kind).alias("kind"), text.alias("text"), page_.cast("int").alias("page"), F.lit(1).alias("level"), F.lit(None).cast("double").alias("font_size"), F.lit(False).alias("bold"))
 
     late = F.col("rn") % 3 == 0
-    # numbers of four digits only have chapters' sections; more orders than that go on as five, which the plain grammar reads
+    # a document's orders are few enough for numbers of four digits
     out = block(o.select("document").distinct(), F.lit(0), "paragraph", F.lit("Preface."), F.lit(1))
     out = out.unionByName(block(o, at, "heading", F.when(late, F.concat(F.lit("SECTION "), number)).otherwise(F.concat(number, F.lit(" Rules for orders")))))
     out = out.unionByName(block(o.where(late), at + 1, "heading", F.lit("General rules")))
@@ -119,7 +123,7 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(block(two, at + 61, "table", F.concat(F.lit("| "), _text(F.col("o_orderkey")), F.lit(" |"))))
 
 
-_STREAM = """WITH o AS (SELECT o_orderkey, (o_custkey % 40)::VARCHAR AS document, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS rn FROM orders),
+_STREAM = """WITH o AS (SELECT o_orderkey, (o_custkey % 40) || '-' || (o_orderkey // 8000) AS document, row_number() OVER (PARTITION BY o_custkey % 40, o_orderkey // 8000 ORDER BY o_orderkey) AS rn FROM orders),
 i AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
 l AS (SELECT o.*, i, l_partkey, rn // 4 + 1 + i // 5 AS page FROM o JOIN i ON l_orderkey = o_orderkey)
 """

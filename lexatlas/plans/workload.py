@@ -460,13 +460,14 @@ def dup_alias(spark, sf):  # noqa: ANN001, ANN201
 # ---------------------------------------------------------------- corpora, references, store
 
 
-@query("SELECT source AS id, count(*) AS sections, count(DISTINCT lang) AS documents, string_agg(DISTINCT lang, ',' ORDER BY lang) AS titles FROM documents GROUP BY source")
+@query("SELECT source AS id, count(*) AS sections, sum(len(string_split(text, chr(10))))::BIGINT AS chunks, count(DISTINCT lang) AS documents, string_agg(DISTINCT lang, ',' ORDER BY lang) AS titles FROM documents GROUP BY source")
 def list_corpora(spark, sf):  # noqa: ANN001, ANN201
     d = documents(spark, sf)
     corpora = d.select(F.col("corpus_id").alias("id")).distinct()
     docs = d.select("corpus_id", F.col("lang").alias("title")).distinct().select("corpus_id", F.col("title").alias("id"), "title", F.lit("base").alias("layer"), F.lit(None).cast("string").alias("version"))
-    out = lookup.list_corpora(corpora, docs, d, d.limit(0))
-    return out.select("id", "sections", F.size("documents").cast("long").alias("documents"), F.array_join(F.transform("documents", lambda x: x["title"]), ",").alias("titles"))
+    lines = d.select("corpus_id", F.explode(F.split("text", "\n")).alias("content"))
+    out = lookup.list_corpora(corpora, docs, d, lines)
+    return out.select("id", "sections", "chunks", F.size("documents").cast("long").alias("documents"), F.array_join(F.transform("documents", lambda x: x["title"]), ",").alias("titles"))
 
 
 @query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
