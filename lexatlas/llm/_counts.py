@@ -27,9 +27,14 @@ RUNS = "part long, block long, items binary, counts binary"
 ANSWERS = "block long, part long, places binary, totals binary, seen long, kinds long, once long, twice long"
 
 
+def in_block(docs: DataFrame, key: Column, blocks: int) -> DataFrame:
+    """``docs`` with the column ``block`` that :func:`with_block` gives them, not dealt: a later grouping by it deals them once."""
+    return docs.withColumn("block", F.pmod(F.hash(key), F.lit(blocks)).cast("long"))
+
+
 def with_block(docs: DataFrame, key: Column, blocks: int) -> DataFrame:
     """``docs`` dealt into blocks by ``key``; the column ``block`` says which, and each block is one partition."""
-    return docs.withColumn("block", F.pmod(F.hash(key), F.lit(blocks)).cast("long")).repartition(blocks, key)
+    return in_block(docs, key, blocks).repartition(blocks, key)
 
 
 def packed(x: np.ndarray, climbing: bool = False) -> bytes:

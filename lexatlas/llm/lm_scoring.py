@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._counts import BLOCK_BYTES, RUNS, answers, count_blocks, known, placed, runs, statistics, tally, with_block
+from ._counts import BLOCK_BYTES, RUNS, answers, count_blocks, known, placed, runs, statistics, tally, in_block, with_block
 from ._text import mix, slices, word_hashes
 from ._work import blocks_of
 
@@ -275,7 +275,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
 
     columns = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = pa.schema([(key, to_arrow_type(docs.schema[key].dataType)), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], ("base_score", pa.float64()), ("score", pa.float64())])
-    own, back = dealt.groupBy("block"), answered.where("block >= 0").select("block", "part", "places", "totals")
+    # the two passes after it deal the texts by block themselves
+    own, back = in_block(rows, F.xxhash64("key", "t"), blocks).groupBy("block"), answered.where("block >= 0").select("block", "part", "places", "totals")
     if order > 2:
         more = answers(own.cogroup(back.groupBy("block")).applyInArrow(longer, RUNS), "lm-triples")
         both = back.withColumn("level", F.lit(1)).unionByName(more.where("block >= 0").select("block", "part", "places", "totals", F.lit(2).alias("level")))
