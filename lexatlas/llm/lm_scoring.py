@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._counts import BLOCK_BYTES, RUNS, answers, count_blocks, known, placed, runs, statistics, tally, in_block, with_block
+from ._counts import BLOCK_BYTES, RUNS, answers, count_blocks, in_block, known, placed, runs, statistics, tally, with_block
 from ._text import mix, slices, word_hashes
 from ._work import blocks_of
 
