@@ -36,3 +36,40 @@ def test_stutter_and_overlaps(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(3, same), (1, same + "b"), (2, f"x y {passage} z"), (5, f"{passage} q {passage}"), (4, passage[:120]), (6, f"{passage} {same}")]
     check(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+
+
+def test_levels():
+    assert sd.levels(50) == [(6, (0,)), (12, (-6, 0)), (24, (-18, -12, -6, 0))]
+    for window in range(1, 200):
+        size, _ = sd.levels(window)[0]
+        places = set(range(window - size + 1))  # where a surviving window can lie within a full one
+        for longer, _ in sd.levels(window)[1:]:
+            sides = [{p for p in (x, x - size) if p >= 0 and p + longer <= window} for x in places]
+            assert all(sides), (window, longer)
+            size, places = longer, set().union(*sides)
+        assert size <= window
+
+
+def test_only_what_repeats_is_extended(spark, monkeypatch):
+    counts = {}
+    plain = sd.repeating
+
+    def seen(rows, name):
+        out = plain(rows, name)
+        counts[int(name)] = (rows.count(), out.count())
+        return out
+
+    monkeypatch.setattr(sd, "repeating", seen)
+    rows = []
+    for i in range(60):
+        own = lambda n, i=i: [f"{i}.{n}.{k}" for k in range(n)]
+        shared = [f"s{i // 2}.{k}" for k in range((9, 18, 40, 80)[i // 2 % 4])]
+        rows.append((i, " ".join([*own(100 + i), *shared, *own(301)])))
+    check(spark.createDataFrame(rows, "doc_id long, text string"), 50)
+    assert sorted(counts) == [6, 12, 24]
+    assert counts[6][0] > 5 * counts[6][1] and counts[12][1] < counts[12][0] and counts[24][1] < counts[24][0]
+    assert all(counts[b][0] <= 2 * counts[a][1] for a, b in ((6, 12), (12, 24)))
+    # nothing survives the second level: the third isn't looked at
+    counts.clear()
+    check(spark.createDataFrame([r for r in rows if r[0] // 2 % 4 == 0], "doc_id long, text string"), 50)
+    assert 24 not in counts
