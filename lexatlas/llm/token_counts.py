@@ -29,15 +29,28 @@ from pyspark.sql import types as T
 
 from ._text import slices
 
-#: Distinct words whose solution a worker keeps; older ones are solved again when they recur.
-KEEP = 1_200_000
+#: Bytes, about, of solved words that a worker keeps, and of pieces; when they are full all are solved again as they recur.
+KEEP = 240 << 20
 #: Code points of the longest word that is kept (its counts fit in bytes); longer ones are solved where they stand.
 CACHED = 60
 #: Letters after which a word's state is kept for others.
 HEAD = 7
+#: Such states that a worker keeps.
+HEADS = 600_000
 
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _GAP = regex.compile(r"\s+")
+_LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+
+
+def _cost(text: str) -> int:
+    """Bytes, about, of a cache's entry for a word: its code points, its counts and the entry."""
+    return 160 + 5 * len(text)
+
+
+def _starts(ch: str) -> bool:
+    """Whether a code point never combines with what stands before it: no mark, no vowel or tail of a Hangul syllable."""
+    return not (unicodedata.category(ch)[0] == "M" or unicodedata.combining(ch) or "\u1160" <= ch <= "\u11ff" or "\ud7b0" <= ch <= "\ud7ff")
 
 
 def _byte_alphabet() -> list[str]:
@@ -72,6 +85,7 @@ class PrefixCounter:
         self.stable: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = {"words": 0, "pieces": 0}
         self.heads: dict[str, tuple[tuple[str, ...], bytes, bytes]] = {}
 
     @staticmethod
@@ -123,10 +137,16 @@ class PrefixCounter:
             ends = [ends[i] for i in stops]
         if len(text) > CACHED:
             return ends
-        if len(self.pieces) >= KEEP:
-            self.pieces.clear()
-        got = self.pieces[text] = bytes(ends)
-        return got
+        return self.keep("pieces", text, bytes(ends))
+
+    def keep(self, name: str, text: str, counts: bytes) -> bytes:
+        cache = getattr(self, name)
+        self.held[name] += _cost(text)
+        if self.held[name] > KEEP:
+            cache.clear()
+            self.held[name] = _cost(text)
+        cache[text] = counts
+        return counts
 
     def solve(self, word: str) -> list[int]:
         """The dynamic programme: tokens of word[:i] as a finished word, for each i. All depends on prefixes alone, so
@@ -160,7 +180,7 @@ class PrefixCounter:
                             ends.append(count[j] + 1)
                             break
             if i == HEAD and len(word) > HEAD:
-                if len(self.heads) >= KEEP // 2:
+                if len(self.heads) >= HEADS:
                     self.heads.clear()
                 self.heads[head] = (tuple(last), bytes(count), bytes(ends))
         return ends
@@ -194,14 +214,35 @@ class PrefixCounter:
                 if len(low) == len(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
                     counts = self.plain(low)
                 else:  # characters combine or grow: each prefix is normalised as the library would
-                    counts = [(self.plain("".join([c.lower() for c in unicodedata.normalize("NFC", text[: i + 1])])) or [0])[-1] for i in range(len(text))]
+                    counts = self.combining(text)
             if len(text) > CACHED:
                 return np.array(counts, np.int32)
-            if len(self.words) >= KEEP:
-                self.words.clear()
-            got = self.words[text] = bytes(counts)
+            got = self.keep("words", text, bytes(counts))
         return got
 
+    def combining(self, text: str) -> list[int]:
+        """Prefix counts of a text without white space whose code points combine.
+
+        Only what follows the last code point that starts a cluster can still change, so the state before it is kept and
+        each prefix goes on from there. Linear in the text; a cluster whose marks change places costs the square of its own length.
+        """
+        grown = _Growing(self)
+        out: list[int] = []
+        mark, first, before = grown.mark(), 0, ""
+        for i, ch in enumerate(text):
+            if i > first and _starts(ch):
+                mark, first, before = grown.mark(), i, ""
+            now = unicodedata.normalize("NFC", text[first : i + 1])
+            if not now.startswith(before):
+                grown.back(mark)
+                before = ""
+            for c in now[len(before) :]:
+                for low in c.lower():
+                    grown.add(low)
+            before = now
+            out.append(grown.total())
+        return out
+
     def text(self, text: str) -> np.ndarray:
         """Token count of each prefix of a document, one number per code point."""
         out, base = [], 0
@@ -238,6 +279,81 @@ class PrefixCounter:
         return (np.concatenate(out) if out else np.zeros(0, np.int32)), base
 
 
+class _Growing:
+    """The dynamic programme over a text that grows by single code points and can be set back."""
+
+    def __init__(self, counter: PrefixCounter) -> None:
+        self.counter = counter
+        self.base = 0  # tokens of finished pieces
+        self.kind = ""  # of the open piece: letters L, other signs O, an apostrophe that began a piece A; none where empty
+        self.short: tuple[int, str] | None = None  # tokens before, and text, of what may become a contraction of three
+        self.piece: tuple[list[str], list[str], list[int], list[int]] = ([], [""], [0], [])
+
+    def total(self) -> int:
+        return self.base + (self.piece[3][-1] if self.kind else 0)
+
+    def mark(self) -> tuple:
+        return self.base, self.kind, self.short, self.piece, len(self.piece[0])
+
+    def back(self, mark: tuple) -> None:
+        self.base, self.kind, self.short, self.piece, n = mark
+        word, last, count, ends = self.piece
+        del word[n:], last[n + 1 :], count[n + 1 :], ends[n:]
+
+    def close(self) -> None:
+        self.base, self.kind, self.short = self.total(), "", None
+
+    def whole(self, base: int, text: str) -> None:
+        """A piece that ends here, after ``base`` tokens."""
+        self.base, self.kind, self.short = base + self.counter.piece(text)[-1], "", None
+
+    def add(self, ch: str) -> None:
+        if _LETTER.match(ch):
+            if self.kind == "A" and ch in "stmd":
+                return self.whole(self.base, "'" + ch)
+            if self.short and self.short[1] + ch in ("'re", "'ve", "'ll"):
+                return self.whole(self.short[0], self.short[1] + ch)
+            short = (self.base, "'" + ch) if self.kind == "A" and ch in "rvl" else None
+            if self.kind != "L":
+                self.open("L")
+            self.short = short
+        elif _DIGIT.match(ch):
+            self.close()
+            return self.whole(self.base, ch)
+        elif self.kind in ("O", "A"):
+            self.kind = "O"
+        else:
+            self.open("A" if ch == "'" else "O")
+        for b in ch.encode():
+            self.letter(self.counter.letter[b])
+        return None
+
+    def open(self, kind: str) -> None:
+        self.close()
+        self.kind, self.piece = kind, ([], [""], [0], [])
+
+    def letter(self, letter: str) -> None:
+        c = self.counter
+        word, last, count, ends = self.piece
+        word.append(letter)
+        i = len(word)
+        tail = "".join(word[-3:]) if i > 2 else ""
+        for lengths, end in ((c.inner, ""), (c.final, c.end)):
+            for n in lengths.get(tail, (2, 1)):
+                if n > i:
+                    continue
+                t = "".join(word[i - n : i]) + end
+                if t in c.vocab:
+                    ok = c.stable.get((last[i - n], t))
+                    if ok if ok is not None else c.compatible(last[i - n], t):
+                        if lengths is c.inner:
+                            last.append(t)
+                            count.append(count[i - n] + 1)
+                        else:
+                            ends.append(count[i - n] + 1)
+                        break
+
+
 @lru_cache(2)
 def _counter(path: str) -> PrefixCounter:
     """A worker's counter: what it has solved serves its later tasks."""
