@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexatlas.functions.numbers import citation, dotted_depth, normalize_number
+from lexatlas.operators import tree
 
 
 def list_corpora(corpora: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, config: DataFrame | None = None) -> DataFrame:
@@ -64,19 +65,12 @@ def siblings(sections: DataFrame) -> DataFrame:
     return sections.withColumns(near)
 
 
-ANCESTORS = """
-WITH RECURSIVE up (id, anc, dist) AS (
-  SELECT id, parent_id, 1 FROM {s} WHERE parent_id IS NOT NULL
-  UNION ALL
-  SELECT up.id, s.parent_id, up.dist + 1 FROM up JOIN {s} s ON s.id = up.anc WHERE s.parent_id IS NOT NULL
-)
-SELECT up.id, up.anc, up.dist, s.number, s.title, s.depth FROM up JOIN {s} s ON s.id = up.anc
-"""
-
-
 def ancestors(sections: DataFrame) -> DataFrame:
-    """(id, anc, dist, number, title, depth): every section with all above it, by a recursive query."""
-    return sections.sparkSession.sql(ANCESTORS, s=sections)
+    """(id, anc, dist, number, title, depth): every section (id, document_id, ordinal, depth, number, title) with all above it. A
+    document's sections stand in their order with their depths, so windows tell what is open at each."""
+    s = sections.select("id", F.col("document_id").alias("document"), F.col("ordinal").alias("ord"), "depth", "number", "title")
+    up = tree.lineage(s.withColumn("level", F.col("depth")), ["id", "number", "title", "level"]).select("id", F.size("above").alias("n"), F.posexplode("above").alias("at", "a"))
+    return up.select("id", F.col("a.id").alias("anc"), (F.col("n") - F.col("at")).alias("dist"), "a.number", "a.title", F.col("a.level").alias("depth"))
 
 
 def referenced_by(refs: DataFrame, sections: DataFrame) -> DataFrame:

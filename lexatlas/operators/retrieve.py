@@ -238,12 +238,13 @@ def get_context(store: Store, number: str, corpus: str | None = None) -> dict:
     """What stands around a section, the base text preferred: ancestors, neighbours, children, referring sections."""
     s, row = _found(store, number, corpus, "base")
     own = s.where(F.col("document_id") == row["document_id"])
-    here = lookup.siblings(own).where(F.col("id") == row["id"]).first()
+    here = lookup.siblings(own.where(F.col("parent_id").eqNullSafe(F.lit(row["parent_id"])))).where(F.col("id") == row["id"]).first()
     pair = lambda x, n: {"number": x[f"{n}_number"], "title": x[f"{n}_title"]} if x[f"{n}_id"] is not None else None
-    up = lookup.ancestors(own.select("id", "parent_id", "number", "title", "depth")).where(F.col("id") == row["id"]).orderBy("depth").collect()
+    up = lookup.ancestors(own.where(F.col("ordinal") <= row["ordinal"])).where(F.col("id") == row["id"]).orderBy("depth").collect()
     kids = own.where(F.col("parent_id") == row["id"]).orderBy("ordinal").select("number", "title").collect()
     by = lookup.referenced_by(store.cross_refs, store.sections).where(F.col("to_section_id") == row["id"]).orderBy("number").collect()
-    cite = lookup.details(store.placed(), store.chunks, store.cross_refs).where(F.col("id") == row["id"]).select("citation").first()[0]
+    only = store.chunks.sparkSession.createDataFrame([(row["id"],)], "id long")
+    cite = lookup.details(store.placed(), store.chunks, store.cross_refs, only=only).select("citation").first()[0]
     named = lambda rows: [{"number": r["number"], "title": r["title"]} for r in rows]
     return {"corpus": row["corpus_id"], "section": {"number": row["number"], "title": row["title"], "path": row["path"]}, "ancestors": named(up), "previous": pair(here, "prev"), "next": pair(here, "next"), "children": named(kids), "referenced_by": named(by), "citation": cite}
 

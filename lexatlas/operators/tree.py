@@ -16,8 +16,8 @@ from lexatlas.functions.numbers import label, normalize_number, title_case
 from lexatlas.operators.grammar import HEADING, grammar
 from lexatlas.work import settled
 
-#: Deepest level of a heading that parents are looked up for.
-DEEPEST = 12
+#: Places of a document whose parents are found in one task.
+BLOCK = 1 << 16
 
 
 def classify(blocks: DataFrame, grammar_name: str) -> DataFrame:
@@ -53,12 +53,31 @@ def accepted(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("document").applyInPandas(walk, "document string, ord int")
 
 
-def parent_of(depth: Column, ord_: Column, document: Column) -> Column:
-    """The place of the nearest section before that is less deep: for each level the last place seen, the greatest of
-    those above."""
-    w = W.partitionBy(document).orderBy(ord_).rowsBetween(W.unboundedPreceding, -1)
-    places = [F.when(depth > k, F.last(F.when(depth == k, ord_), ignorenulls=True).over(w)) for k in range(DEEPEST)]
-    return F.greatest(*places)
+def lineage(sections: DataFrame, carry: list[str]) -> DataFrame:
+    """``sections`` (document, ord, depth, ...) with ``above``: all sections that each stands in, from the top down, as an array of
+    structs of ``ord`` and the columns ``carry``.
+
+    A section stands in the last one of each lesser depth, unless a still lesser depth came after that. So a running last for each depth
+    that occurs is all there is to keep, without recursion. A document is dealt in blocks of places: lasts run within a block, and one row
+    a block brings those from the blocks before, so a document of any length is many tasks.
+    """
+    depths = sorted(r[0] for r in sections.select("depth").distinct().collect())  # as many as numbers have levels
+    node = F.struct("ord", *carry)
+    lasts, near = [f"__last{i}" for i in range(len(depths))], [f"__near{i}" for i in range(len(depths))]
+    s = sections.withColumn("__block", F.floor(F.col("ord") / BLOCK))
+    ends = s.groupBy("document", "__block").agg(F.count("*").alias("__n"), *[F.max(F.when(F.col("depth") == d, node)).alias(c) for d, c in zip(depths, lasts, strict=True)])
+    blocks = W.partitionBy("document").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select("document", "__block", *[F.last(c, ignorenulls=True).over(blocks).alias(c) for c in lasts])
+    w = W.partitionBy("document", "__block").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    s = s.withColumns({c: F.last(F.when(F.col("depth") == d, node), ignorenulls=True).over(w) for d, c in zip(depths, near, strict=True)}).join(before, ["document", "__block"])
+    s = s.withColumns({c: F.coalesce(c, o) for c, o in zip(near, lasts, strict=True)})
+    open_, newest = [], F.lit(None).cast(sections.schema["ord"].dataType)
+    for d, c in zip(depths, near, strict=True):
+        place = F.col(c)["ord"]
+        open_.append(F.when((F.col("depth") > d) & (newest.isNull() | (place > newest)), F.col(c)))
+        newest = F.greatest(newest, place)
+    above = F.filter(F.array(*open_), lambda x: x.isNotNull()) if open_ else F.array().cast(f"array<{s.select(node).schema[0].dataType.simpleString()}>")
+    return s.withColumn("above", above).drop("__block", *lasts, *near)
 
 
 def unique_numbers(sections: DataFrame) -> DataFrame:
@@ -73,24 +92,10 @@ def unique_numbers(sections: DataFrame) -> DataFrame:
 
 def breadcrumbs(sections: DataFrame, root: str | None = None) -> DataFrame:
     """(document, ord, parent, path) of sections: the nearest section before that is less deep, and the labels from the root
-    down, joined by " > ", after ``root`` if given. Walks each document's headings once, in order."""
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        stack: list[tuple[int, int, str]] = []
-        rows = []
-        for r in group.sort_values("ord").itertuples():
-            while stack and stack[-1][0] >= r.depth:
-                stack.pop()
-            above = stack[-1] if stack else None
-            prefix = above[2] if above else root
-            path = f"{prefix} > {r.name}" if prefix else r.name
-            rows.append((r.document, r.ord, above[1] if above else None, path))
-            stack.append((r.depth, r.ord, path))
-        out = pd.DataFrame(rows, columns=["document", "ord", "parent", "path"])
-        return out.astype({"ord": "int32", "parent": "Int32"})
-
-    named = sections.select("document", "ord", "depth", label(F.col("number"), F.col("title")).alias("name"))
-    return named.groupBy("document").applyInPandas(walk, "document string, ord int, parent int, path string")
+    down, joined by " > ", after ``root`` if given."""
+    named = lineage(sections.select("document", "ord", "depth", label(F.col("number"), F.col("title")).alias("name")), ["name"])
+    names = F.concat(F.array(F.lit(root)) if root else F.array().cast("array<string>"), F.transform("above", lambda x: x["name"]), F.array("name"))
+    return named.select("document", "ord", F.try_element_at("above", F.lit(-1))["ord"].alias("parent"), F.array_join(names, " > ").alias("path"))
 
 
 def _title_like(text: Column) -> Column:

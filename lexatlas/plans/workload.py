@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import lexical, numbers, vectors
 from lexatlas.operators import batch, chunking, evaluate, extract, lookup, retrieve, term_index, tree, vector_index
-from lexatlas.sources import files
+from lexatlas.sources import files, store
 from lexatlas.work import folder
 
 QUERIES: dict = {}
@@ -429,7 +429,8 @@ def children(spark, sf):  # noqa: ANN001, ANN201
 
 @query(TREE + ", m AS (SELECT id, parent_id, number FROM s), l AS (SELECT a.id, b.id AS anc, 1 AS dist FROM m a JOIN m b ON a.parent_id = b.id), l2 AS (SELECT l.id, m.parent_id AS anc, 2 AS dist FROM l JOIN m ON l.anc = m.id WHERE m.parent_id IS NOT NULL), l3 AS (SELECT l2.id, m.parent_id AS anc, 3 AS dist FROM l2 JOIN m ON l2.anc = m.id WHERE m.parent_id IS NOT NULL) SELECT x.id, x.anc, x.dist, m.number FROM (SELECT * FROM l UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) x JOIN m ON m.id = x.anc")
 def ancestors_recursive(spark, sf):  # noqa: ANN001, ANN201
-    return lookup.ancestors(sections(spark, sf).select("id", "parent_id", "number", "title", "depth")).select("id", "anc", "dist", "number")
+    s = _ordered(spark, sf).withColumnsRenamed({"document": "document_id", "ord": "ordinal"})
+    return lookup.ancestors(s).select("id", "anc", "dist", "number")
 
 
 def _ordered(spark, sf):  # noqa: ANN001, ANN202
@@ -446,9 +447,7 @@ def breadcrumb(spark, sf):  # noqa: ANN001, ANN201
 @query(TREE + "SELECT id, parent_id FROM s")
 def tree_parent_window(spark, sf):  # noqa: ANN001, ANN201
     s = _ordered(spark, sf)
-    p = s.withColumn("parent", tree.parent_of(F.col("depth"), F.col("ord"), F.col("document")))
-    ids = s.select("document", F.col("ord").alias("parent"), F.col("id").alias("parent_id"))
-    return p.join(ids, ["document", "parent"], "left").select("id", "parent_id")
+    return tree.lineage(s, ["id"]).select("id", F.try_element_at("above", F.lit(-1))["id"].alias("parent_id"))
 
 
 @query("SELECT doc_id AS ord, source || CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) > 1 THEN '(' || row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) || ')' ELSE '' END AS number FROM documents")
@@ -525,17 +524,22 @@ def referenced_by(spark, sf):  # noqa: ANN001, ANN201
 
 @query("SELECT lower(sha256(text)) AS sha, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
 def dedupe_sha256(spark, sf):  # noqa: ANN001, ANN201
-    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    return d.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return store.firsts(d).select(F.col("sha256").alias("sha"), F.col("path").alias("first"), "copies")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN c_custkey % 10 <> 0 THEN c_custkey END AS to_section_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 7 <> 0")
 def delete_cascade(spark, sf):  # noqa: ANN001, ANN201
-    refs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("to_section_id"))
-    gone_from = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("id"))
-    gone_to = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("to_section_id"), F.lit(True).alias("lost"))
-    left = refs.join(gone_from, "id", "left_anti").join(gone_to, "to_section_id", "left")
-    return left.select("id", F.when(F.col("lost").isNull(), F.col("to_section_id")).alias("to_section_id"))
+    """Orders (odd ids) and customers (even ones) are sections that refer to each other; two documents go."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    own = orders.select((F.col("o_orderkey") * 2 + 1).alias("id"), (F.col("o_orderkey") % 7).alias("document_id"))
+    of = customers.select((F.col("c_custkey") * 2).alias("id"), (F.col("c_custkey") % 10 + 100).alias("document_id"))
+    all_ = own.unionByName(of)
+    chunks = all_.select("id", F.col("id").alias("section_id"))
+    refs = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 2 + 1).alias("from_section_id"), (F.col("o_custkey") * 2).alias("to_section_id"))
+    documents = all_.select(F.col("document_id").alias("id")).distinct()
+    left = store.cascade({"documents": documents, "sections": all_, "chunks": chunks, "postings": chunks.select(F.col("id").alias("key")), "cross_refs": refs}, documents.where("id in (0, 100)"))
+    return left["cross_refs"].select("id", (F.col("to_section_id") / 2).cast("long").alias("to_section_id"))
 
 
 # ---------------------------------------------------------------- parsing and chunking
@@ -598,13 +602,15 @@ def ingest_stats(spark, sf):  # noqa: ANN001, ANN201
     return d.groupBy("source", "lang").agg(F.count("*").alias("sections"), F.count(F.when(F.col("doc_id") % 3 == 0, 1)).alias("exceptions"), lookup.page_count(F.floor(F.col("n_chars") / 3000)).alias("page_count"), F.min("n_chars").alias("first"), F.max("n_chars").alias("last"))
 
 
-@query(TREE + "SELECT s.id, s.number, s.title, count(c.id) AS kids, min(c.number) AS first_kid FROM s LEFT JOIN s c ON c.parent_id = s.id GROUP BY s.id, s.number, s.title")
+@query(TREE + "SELECT s.id, s.number, s.title, count(c.id) AS kids, min(c.number) AS first_kid, s.title AS exceptions, coalesce(s.parent_id % 2 = 0, false) AS resolved, CASE WHEN s.layer = 'base' THEN a.number END AS amended_by FROM s LEFT JOIN s c ON c.parent_id = s.id LEFT JOIN (SELECT number, replace(number, '104', '103') AS target FROM s WHERE layer = 'amendment' AND depth = 0) a ON a.target = s.number GROUP BY s.id, s.number, s.title, s.parent_id, s.layer, a.number")
 def section_detail(spark, sf):  # noqa: ANN001, ANN201
-    s = sections(spark, sf).withColumns({"document_title": F.lit("Code"), "corpus_title": F.lit("Code"), "supersedes_number": F.lit(None).cast("string"), "page_start": F.lit(None).cast("int"), "body": F.lit("")})
-    chunks = spark.createDataFrame([], "section_id long, kind string, ordinal int, content string")
-    refs = spark.createDataFrame([], "from_section_id long, ref_text string, ref_number string, ref_kind string, to_section_id long")
+    """The last region supersedes the number of the one before; each section has an exception, and refers to its parent."""
+    over = F.when((F.col("layer") == "amendment") & (F.col("depth") == 0), F.regexp_replace("number", "104", "103"))
+    s = sections(spark, sf).withColumns({"document_title": F.lit("Code"), "corpus_title": F.lit("Code"), "supersedes_number": over, "page_start": F.lit(None).cast("int"), "body": F.lit("")})
+    chunks = s.select(F.col("id").alias("section_id"), F.lit("exception").alias("kind"), F.lit(0).alias("ordinal"), F.col("title").alias("content"))
+    refs = s.where("parent_id is not null").select(F.col("id").alias("from_section_id"), F.lit("r").alias("ref_text"), "number", F.lit("section").alias("ref_kind"), F.when(F.col("parent_id") % 2 == 0, F.col("parent_id")).alias("to_section_id")).withColumnRenamed("number", "ref_number")
     d = lookup.details(s, chunks, refs, include_children=True)
-    return d.select("id", "number", "title", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("kids"), F.array_min(F.transform("children", lambda c: c["number"])).alias("first_kid"))
+    return d.select("id", "number", "title", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("kids"), F.array_min(F.transform("children", lambda c: c["number"])).alias("first_kid"), F.array_join("exceptions", ",").alias("exceptions"), F.coalesce(F.get("cross_refs", F.lit(0))["resolved"], F.lit(False)).alias("resolved"), F.col("amended_by.section_number").alias("amended_by"))
 
 
 # ---------------------------------------------------------------- evaluation

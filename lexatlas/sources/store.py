@@ -40,6 +40,27 @@ def numbered(df: DataFrame, order: list[str], base: int, name: str = "id") -> Da
     return dealt.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + rank + base).cast("long")).drop("__part", "__before")
 
 
+def firsts(files: DataFrame) -> DataFrame:
+    """(sha256, path, copies): of files (path, sha256) with one content the first path counts."""
+    return files.groupBy("sha256").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+
+
+def cascade(tables: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
+    """``tables`` without ``documents`` (id) and what belongs to them; references to their sections dangle again."""
+    gone = documents.select(F.col("id").alias("document_id"))
+    gone_sections = tables["sections"].join(gone, "document_id", "left_semi").select(F.col("id").alias("section_id"))
+    gone_chunks = tables["chunks"].join(gone_sections, "section_id", "left_semi").select(F.col("id").alias("key"))
+    refs = tables["cross_refs"].join(gone_sections.withColumnRenamed("section_id", "from_section_id"), "from_section_id", "left_anti")
+    marked = refs.join(gone_sections.select(F.col("section_id").alias("to_section_id"), F.lit(True).alias("lost")), "to_section_id", "left")
+    return {
+        "documents": tables["documents"].join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti"),
+        "sections": tables["sections"].join(gone, "document_id", "left_anti"),
+        "chunks": tables["chunks"].join(gone_sections, "section_id", "left_anti"),
+        "postings": tables["postings"].join(gone_chunks, "key", "left_anti"),
+        "cross_refs": marked.withColumn("to_section_id", F.when(F.col("lost").isNull(), F.col("to_section_id"))).drop("lost"),
+    }
+
+
 class Repository:
     """Tables under ``root``: folders root/v=N/<table> and manifests root/_SNAPSHOT.N, which name each table's folders."""
 
@@ -134,19 +155,8 @@ class Repository:
         return have.unionByName(one.join(have, "id", "left_anti"))
 
     def without(self, documents: DataFrame) -> dict[str, DataFrame]:
-        """All tables without ``documents`` (id) and what belongs to them; references to their sections dangle again."""
-        gone = documents.select(F.col("id").alias("document_id"))
-        sections = self.read("sections")
-        gone_sections = sections.join(gone, "document_id", "left_semi").select(F.col("id").alias("section_id"))
-        refs = self.read("cross_refs").join(gone_sections.withColumnRenamed("section_id", "from_section_id"), "from_section_id", "left_anti")
-        marked = refs.join(gone_sections.select(F.col("section_id").alias("to_section_id"), F.lit(True).alias("lost")), "to_section_id", "left")
-        return {
-            "documents": self.read("documents").join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti"),
-            "sections": sections.join(gone, "document_id", "left_anti"),
-            "chunks": self.read("chunks").join(gone_sections, "section_id", "left_anti"),
-            "postings": self.read("postings").join(self.read("chunks").join(gone_sections, "section_id", "left_semi").select(F.col("id").alias("key")), "key", "left_anti"),
-            "cross_refs": marked.withColumn("to_section_id", F.when(F.col("lost").isNull(), F.col("to_section_id"))).drop("lost"),
-        }
+        """All tables without ``documents`` (id) and what belongs to them."""
+        return cascade({n: self.read(n) for n in ("documents", "sections", "chunks", "postings", "cross_refs")}, documents)
 
     def delete(self, document_id: int) -> None:
         d = self.read("documents").where(F.col("id") == document_id)
@@ -197,8 +207,8 @@ class Repository:
                 if files.select("path").isEmpty():
                     return dict.fromkeys([f.name for f in schema.schema("ingest_runs")["stats"].dataType], 0)
             found = found.where("error is null").drop("error")
-        # of files with one content the first path counts; ids follow the paths' order
-        first = settled(files.groupBy("sha256").agg(F.min("path").alias("path")))
+        # ids follow the paths' order
+        first = settled(firsts(files).drop("copies"))
         files = files.join(first, ["sha256", "path"], "left_semi")
         listed = settled(numbered(first.select("path", "sha256"), ["path"], bases["documents"], "document_id"))
         # blocks were made of all files, those of the same bytes among them
