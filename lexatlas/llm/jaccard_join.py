@@ -131,6 +131,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def _spread(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` (key, t) with ``deal``, by which they are dealt into blocks: copies of a text share one unless they fill more,
+    else their keys deal them over as many as they fill. At most ``blocks`` texts can fill a block each, so these are broadcast."""
+    h = F.xxhash64("t")
+    size = rows.groupBy(h.alias("h")).agg(F.sum(F.octet_length("t")).alias("size"))
+    hot = saved(size.where(F.col("size") > BLOCK_BYTES).select("h", F.ceil(F.col("size") / BLOCK_BYTES).alias("parts")), "jaccard-hot")
+    share = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    found = rows.withColumn("h", h).join(F.broadcast(hot), "h", "left")
+    return found.select("key", "t", F.xxhash64("h", share).alias("deal"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id) for every row of ``docs``.
 
@@ -143,7 +154,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     kind = docs.schema[key].dataType.simpleString()
     blocks = blocks_of(docs, text, BLOCK_BYTES)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    dealt = with_block(rows, F.xxhash64("t"), blocks)  # copies of a text share a block
+    dealt = with_block(_spread(rows, blocks), F.col("deal"), blocks)
 
     def items_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         # documents are counted once for each distinct text of the batch
@@ -223,13 +234,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
     # light sets: those of a key's smaller size (1) are linked with each other and with those of the larger (4), which
     # aren't by themselves; one star around one of the smaller says so
     shared = made.where("what in (1, 4)").select("item", "node", "what").distinct()
+    # aggregates are written before they are joined, here and below, so that a hot key's join can be split
     hub = shared.groupBy("item").agg(F.min(F.when(F.col("what") == 1, F.col("node"))).alias("a"), F.count("*").alias("m")).where("m > 1 and a is not null").select("item", "a")
+    hub = saved(hub, "jaccard-hubs")
     edges = saved(shared.join(hub, "item").where("node != a").select("a", F.col("node").alias("b")).distinct(), "jaccard-edges")
     # heavy sets: lists of two members at least
     cols = ["node", "n", *[f"k{i}" for i in range(SKETCH)]]
     entries = made.where("what = 2").select("item", *cols).dropDuplicates(["item", "node"])
-    long_lists = entries.groupBy("item").agg(F.count("*").alias("m")).where("m > 1").select("item")
+    long_lists = saved(entries.groupBy("item").agg(F.count("*").alias("m")).where("m > 1").select("item"), "jaccard-long")
     lists = saved(entries.join(long_lists, "item"), "jaccard-entries")
+    drop(hub, long_lists)
     tables = [edges]
     for turn in range(ROUNDS + 1):
         linked = components(tables[0] if len(tables) == 1 else _all(tables))
@@ -239,23 +253,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, text:
             break
         member = F.struct("root", *cols)
         split = of.groupBy("item").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(member, F.xxhash64("node", F.lit(turn), "item") if turn else F.struct("n", "node")).alias("q")).where("r0 != r1").select("item", "q")
+        split = saved(split, "jaccard-stars")
         pairs = of.alias("p").join(split.alias("s"), "item").where("p.root != s.q.root").select(F.struct(*[F.col(f"p.{c}") for c in cols]).alias("p"), F.col("s.q").alias("q"))
         pairs = pairs.where(_possible("p", "q", percent)).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
         tables.append(saved(_verified(pairs, sets, percent), "jaccard-edges"))
-        drop(roots)
+        drop(roots, split)
     # the rest: members outside their list's largest component against all members of other components
     weight = of.groupBy("item", "root").agg(F.count("*").alias("m"))
     largest = weight.groupBy("item").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("item", "top")
+    largest = saved(largest, "jaccard-largest")
     left = saved(of.join(largest, "item"), "jaccard-left")
     # a pair that meets in many lists is made in the first of them only; for sets in very many lists that isn't looked up
     held = left.groupBy("node").agg(F.count("*").alias("m"), F.collect_list("item").alias("in")).where(F.col("m") <= MANY).select("node", "in")
+    held = saved(held, "jaccard-held")
     left = saved(left.join(held, "node", "left"), "jaccard-left")
     p, q = left.where("root != top").alias("p"), left.alias("q")
     first = F.coalesce(F.array_min(F.array_intersect("p.in", "q.in")) == F.col("p.item"), F.lit(True))
     rest = p.join(q, (F.col("p.item") == F.col("q.item")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q", percent) & first)
     rest = rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
     tables.append(saved(_verified(rest, sets, percent), "jaccard-edges"))
-    drop(roots, left)
+    drop(roots, left, largest, held)
     roots = components(_all(tables))
     node_of = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # without shingles there are no links, so each such row is its own

@@ -81,6 +81,19 @@ def test_light_sets_below_the_threshold(spark, monkeypatch, n, percent, light, s
     check(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
 
 
+def test_hot_text_is_dealt_over_blocks(spark, monkeypatch):
+    """A text that fills several blocks lies in several; components are the same."""
+    monkeypatch.setattr(jj, "BLOCK_BYTES", 2000)
+    rng = random.Random(5)
+    hot = " ".join(rng.choice("abcdefghij") + str(i) for i in range(40))
+    rows = [(i, hot) for i in range(400)] + [(1000 + i, hot + " more" if i % 3 else "alone " + str(i) + " of many texts here") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = jj._spread(df.selectExpr("doc_id key", "text t"), 8).where(f"t = '{hot}'")
+    sizes = [r["count"] for r in dealt.groupBy("deal").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 60 and sum(sizes) == 400
+    check(df, 4, 85)
+
+
 def test_boundary_is_by_cost():
     assert jj.boundary({a: 100 for a in range(1, 6)}, 85) == 5 and jj.boundary({}, 85) == 0
     assert jj.boundary({30: 100, 12: 1}, 50) == 0
