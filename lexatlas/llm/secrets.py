@@ -38,6 +38,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 32),
 )
 
+#: Matches of a text whose places are summed up in one fold.
+RUN = 512
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -50,15 +52,28 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     between = F.split(text, rule.pattern, -1)
     lengths = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("len"), F.transform(found, lambda m: F.length(F.regexp_extract(m, rule.value, 1)) if rule.value else F.length(m)).alias("checked"))
-    start = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("at"),
-            F.when(x["checked"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
-        ),
+    # runs of matches: a fold copies what it has gathered at every step, so it gathers the starts of runs, then within each run
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda k: F.slice(lengths, k * RUN + 1, F.lit(RUN)))
+    wide = lambda x: x["gap"] + F.coalesce(x["len"], F.lit(0))
+    begun = F.aggregate(
+        runs,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, run: F.struct((acc["at"] + F.aggregate(run, F.lit(0), lambda n, x: n + wide(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"],
     )
+
+    def within(run: Column, at: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(at.alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + wide(x)).alias("at"),
+                F.when(x["checked"] >= rule.least, F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    start = F.flatten(F.zip_with(runs, begun, within))
     return F.when(text.rlike(rule.pattern), start).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 

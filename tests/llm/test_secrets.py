@@ -33,5 +33,20 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert after.count() == 3 * len(s.RULES)
 
 
+def test_very_many_matches(spark):
+    """Places are right across runs of matches, failing ones among them."""
+    text = " é ".join(f"token=abcdefgh{i}" if i % 3 else "token=abc" for i in range(4 * s.RUN + 1))
+    got = s.scan(spark.createDataFrame([(1, text)], "doc_id int, text string"))[0].first()["findings"]
+    assert [(f["start"], f["rank"], f["end"], f["kind"]) for f in got] == brute(text)
+
+
+def test_later_rules_are_scanned_alone(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id int, text string")
+    _, ledger = s.scan(df, rules=s.RULES[:-1])
+    assert {r["kind"] for r in s.scan_unseen(df, ledger).collect()} == {"hex"}
+    key = lambda f: sorted((r["doc_id"], r["findings"]) for r in f.collect())
+    assert key(s.scan(df, ledger)[0]) == key(s.scan(df)[0])
+
+
 def test_odd_rows(odd, none):
     assert s.scan(odd)[0].count() == odd.count() and s.scan(none)[0].count() == 0
