@@ -25,6 +25,8 @@ from ._text import slices
 
 #: Bytes of payload in one block, which is also what a payload is padded to.
 UNIT = 64
+#: Bytes of payload in one image; a longer payload is several.
+STRIP = 1 << 20
 #: Successive approximation: bits that the first scans leave to the refinement scans.
 _LOW = 1
 #: Order in which the 64 coefficients of a block are stored, by rule: along anti-diagonals, in turn up and down.
@@ -463,12 +465,12 @@ def shape_of(blocks: int) -> tuple[int, int]:
     return even(-(-blocks // wide)), wide
 
 
-def encode(payload: bytes) -> bytes:
+def encode(payload: bytes, wide: int | None = None) -> bytes:
     """A colour image (4:2:0, neutral chroma) whose luma coefficients hold the payload, in five scans: DC of all
     components, AC 1-5 and 6-63 of luma, all without their lowest bit, then the refinements of AC and DC. The payload
-    is a positive multiple of 64 bytes; its length stands in a comment segment."""
+    is a positive multiple of 64 bytes; its length stands in a comment segment. ``wide`` fixes the columns of luma blocks."""
     n = len(payload) // UNIT
-    high, wide = shape_of(n)
+    high, wide = shape_of(n) if wide is None else (2 * -(-n // (2 * wide)), wide)
     if high > 8190:
         raise ValueError("payload too large for one image")
     data = np.zeros((high * wide, 64), np.uint8)
@@ -508,14 +510,38 @@ def payload_of(image: Decoder) -> bytes:
     return (image.parts[0].coef[: n // UNIT] - 256).astype(np.uint8).tobytes()
 
 
+def strips(payload: bytes) -> bytes:
+    """The payload as images of ``STRIP`` bytes each, one after the other, all of one width; one image where that is enough."""
+    if len(payload) <= STRIP:
+        return encode(payload)
+    wide = shape_of(STRIP // UNIT)[1]
+    return b"".join(encode(payload[at : at + STRIP], wide) for at in range(0, len(payload), STRIP))
+
+
+def images(media: bytes) -> Iterator[Decoder]:
+    """The images of :func:`strips`, one at a time; other media are one image."""
+    at = 0
+    while at < len(media):
+        # within an image FF D9 is its end alone: data bytes FF are followed by 00, and no segment of encode holds the pair
+        end = media.find(b"\xff\xd9\xff\xd8", at)
+        end = len(media) if end < 0 or not _stored(media) else end + 2
+        yield Decoder(media[at:end])
+        at = end
+
+
+def _stored(media: bytes) -> bool:
+    """Whether media begin as :func:`encode` writes them: with a comment of eight bytes."""
+    return media[:6] == b"\xff\xd8\xff\xfe\x00\x0a"
+
+
 # ---------------------------------------------------------------- columns
 
 
 def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """``df`` with ``out``: each text's UTF-8 bytes, padded by zero bytes to a positive multiple of 64, as a progressive
     image. Null and empty texts give an image of 64 zero bytes. Equal texts give equal bytes. Other columns are kept, one
-    named ``out`` is replaced. Rows are independent. A text is encoded as a whole, at about 77 bytes of memory for each of its own (232 MB for 3 MB),
-    so the worker's memory bounds its length: about 20 MB on an executor with 3 GB."""
+    named ``out`` is replaced. Rows are independent. A text above ``STRIP`` bytes becomes several images of one width, one after the other, so
+    memory beyond the text and its media is that of one strip."""
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType(), False)])
 
@@ -524,7 +550,7 @@ def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
             media = []
             for t in pc.fill_null(b.column(text), "").cast(pa.large_binary()):
                 raw = t.as_py()
-                media.append(encode(raw + bytes(-len(raw) % UNIT if raw else UNIT)))
+                media.append(strips(raw + bytes(-len(raw) % UNIT if raw else UNIT)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(media, pa.binary())], [*keep, out])
 
     return df.select(*keep).mapInArrow(run, schema)
@@ -532,7 +558,8 @@ def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
 
 def load(df: DataFrame, media: str = "media", payload: bool = True) -> DataFrame:
     """``df`` with height, width and tensor (uint8, height x width x 3, row-major) of the progressive image in ``media``,
-    and ``payload``, the bytes that :func:`store` put there (null for other images). A null image has nulls. Columns of
+    and ``payload``, the bytes that :func:`store` put there (null for other images). Strips of one text stand below each other in
+    its tensor. A null image has nulls. Columns of
     these names are replaced, others kept."""
     new = [("height", T.IntegerType(), pa.int32()), ("width", T.IntegerType(), pa.int32()), ("tensor", T.BinaryType(), pa.binary()), ("payload", T.BinaryType(), pa.binary())]
     keep = [c for c in df.columns if c not in {n for n, _, _ in new}]
@@ -545,8 +572,12 @@ def load(df: DataFrame, media: str = "media", payload: bool = True) -> DataFrame
                 if not m.is_valid:
                     rows.append((None, None, None, None))
                     continue
-                image = Decoder(m.as_py())
-                rows.append((image.height, image.width, image.tensor().tobytes(), payload_of(image) if payload and len(image.comment) == 8 else None))
+                high, wide, tensor, data = 0, 0, [], []
+                for image in images(m.as_py()):
+                    high, wide = high + image.height, image.width
+                    tensor.append(image.tensor().tobytes())
+                    data.append(payload_of(image) if payload and len(image.comment) == 8 else None)
+                rows.append((high, wide, b"".join(tensor), None if None in data else b"".join(data)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([r[i] for r in rows], k) for i, (_, _, k) in enumerate(new)]], [*keep, *[n for n, _, _ in new]])
 
     return df.select(*keep).mapInArrow(run, schema)

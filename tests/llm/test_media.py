@@ -14,6 +14,28 @@ def test_payload_round_trip():
         assert m.payload_of(image) == p and image.tensor().shape == (image.height, image.width, 3)
 
 
+def test_strips_round_trip(monkeypatch):
+    """A payload above one image's is several images of one width, the last one shorter; others are as before."""
+    monkeypatch.setattr(m, "STRIP", 64 * 50)
+    rng = random.Random(3)
+    for n in (50, 51, 100, 149, 777):
+        p = bytes(rng.choice((255, 217, 216, rng.randrange(256))) for _ in range(64 * n))
+        found = list(m.images(m.strips(p)))
+        assert len(found) == -(-n // 50) and len({i.width for i in found}) == 1
+        assert b"".join(map(m.payload_of, found)) == p
+    p = bytes(range(64))
+    assert m.strips(p) == m.encode(p)
+
+
+def test_long_text(spark):
+    text = "".join(chr(33 + i * i % 900) for i in range(1_300_000))
+    read = m.load(m.store(spark.createDataFrame([(1, text)], "doc_id int, text string"))).first()
+    data = text.encode()
+    assert len(data) > 2 * m.STRIP
+    assert bytes(read["payload"]) == data + bytes(-len(data) % 64)
+    assert len(read["tensor"]) == read["height"] * read["width"] * 3
+
+
 class Writer:
     """A plain progressive encoder for arbitrary coefficients, symbol by symbol."""
 
