@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions.numbers import citation, dotted_depth, normalize_number
 from lexatlas.operators import tree
+from lexatlas.work import settled
 
 
 def list_corpora(corpora: DataFrame, documents: DataFrame, sections: DataFrame, chunks: DataFrame, config: DataFrame | None = None) -> DataFrame:
@@ -53,6 +54,38 @@ def nearest_numbers(asked: str, sections: DataFrame, n: int = 3) -> DataFrame:
     return sections.where("depth > 0").select("number", "number_norm").distinct().orderBy(*order, "number").limit(n)
 
 
+def nearest_for(asked: DataFrame, sections: DataFrame, n: int = 3) -> DataFrame:
+    """(asked, number, rank): for each distinct ``number`` of ``asked`` the ``n`` closest, in the order of :func:`nearest_numbers`.
+
+    A two-sided as-of join: numbers and questions are dealt together by ranges of (length, number), counted within each range and
+    offset by the ranges before, so a question knows the places of its neighbours among the numbers of a length and fetches them
+    by an equi-join. It meets only those lengths, nearest first, that hold ``n`` numbers. Null questions are left out.
+    """
+    some = sections.where("depth > 0 and number is not null").groupBy(F.length("number").alias("len"), "number_norm").agg(F.sort_array(F.collect_set("number")).alias("numbers"))  # one number, or its spellings with zeros
+    some = settled(some)
+    want = asked.select(F.col("number").alias("asked")).where("asked is not null").distinct().select("asked", F.length("asked").alias("asked_len"), normalize_number(F.col("asked")).alias("number_norm"))
+    # a row for each pair of lengths
+    apart = F.abs(F.col("len") - F.col("asked_len"))
+    pairs = want.select("asked_len").distinct().crossJoin(some.groupBy("len").agg(F.count("*").alias("m"))).withColumn("apart", apart)
+    nearer = F.coalesce(F.sum("m").over(W.partitionBy("asked_len").orderBy("apart").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reach = pairs.withColumn("nearer", nearer).where(F.col("nearer") < n).select("asked_len", "len", "apart")
+    want = want.join(F.broadcast(reach), "asked_len")
+    rows = some.select("len", "number_norm", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("asked"), F.lit(None).cast("int").alias("apart"))
+    rows = rows.unionByName(want.select("len", "number_norm", F.lit(1).alias("kind"), "asked", "apart"))
+    dealt = settled(rows.repartitionByRange("len", "number_norm").withColumn("part", F.spark_partition_id()))
+    own = F.count(F.when(F.col("kind") == 0, 1))
+    sizes = dealt.groupBy("len", "part").agg(own.alias("own"))
+    before = sizes.select("len", "part", F.coalesce(F.sum("own").over(W.partitionBy("len").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = own.over(W.partitionBy("len", "part").orderBy("number_norm", "kind").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    # as many rows as ranges and lengths together
+    placed = dealt.join(F.broadcast(before), ["len", "part"]).withColumn("place", place)
+    spots = placed.where("kind = 0").select("len", "place", "number_norm").join(some, ["len", "number_norm"]).select("len", "place", F.col("number_norm").alias("norm"), "numbers")
+    near = placed.where("kind = 1").select("asked", "apart", "len", F.col("place").alias("at"), F.explode(F.sequence(F.col("place") - n + 1, F.col("place") + n)).alias("place"))
+    found = near.join(spots, ["len", "place"]).select("asked", "apart", (F.col("place") <= F.col("at")).alias("before"), "norm", F.explode("numbers").alias("number"))
+    order = [F.col("apart"), F.col("before").desc(), F.when(F.col("before"), F.col("norm")).desc_nulls_last(), F.col("norm"), F.col("number")]
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("asked").orderBy(*order))).where(F.col("rank") <= n).select("asked", "number", "rank")
+
+
 def children(sections: DataFrame, parents: DataFrame) -> DataFrame:
     """Children of ``parents`` (id), in order."""
     return sections.join(parents.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").orderBy("parent_id", "ordinal")

@@ -416,6 +416,20 @@ def nearest_numbers(spark, sf):  # noqa: ANN001, ANN201
     return lookup.nearest_numbers("101.7.9999", sections(spark, sf)).select("number")
 
 
+@query(TREE + """, q AS (SELECT DISTINCT (100 + p_partkey % 5) || '.' || (p_partkey % 25) || '.' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.' || (p_partkey * 7) END AS asked FROM part),
+m AS (SELECT asked, list_aggregate(list_transform(string_split(asked, '.'), lambda x: CASE WHEN length(x) < 4 THEN lpad(x, 4, '0') ELSE x END), 'string_agg', '.') AS w FROM q WHERE asked NOT IN (SELECT number FROM s)),
+d AS (SELECT DISTINCT number, number_norm FROM s WHERE depth > 0),
+r AS (SELECT asked, number, row_number() OVER (PARTITION BY asked ORDER BY abs(length(number) - length(asked)), (number_norm <= w) DESC, CASE WHEN number_norm <= w THEN number_norm END DESC NULLS LAST, number_norm, number)::INT AS rank FROM m, d)
+SELECT * FROM r WHERE rank <= 3""")
+def nearest_numbers_batch(spark, sf):  # noqa: ANN001, ANN201
+    """Numbers made of all part keys that no section has, each with the three closest there are."""
+    s, p = sections(spark, sf), F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    asked = F.concat(F.concat_ws(".", text(100 + p % 5), text(p % 25), text(p)), F.when(p % 3 == 0, "").otherwise(F.concat(F.lit("."), text(p * 7))))
+    missing = table(spark, sf, "part").select(asked.alias("number")).join(s.select("number"), "number", "left_anti")
+    return lookup.nearest_for(missing, s)
+
+
 @query(TREE + "SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, lead(number) OVER w AS next_number FROM s WINDOW w AS (PARTITION BY document_id, parent_id ORDER BY ordinal, id)")
 def siblings(spark, sf):  # noqa: ANN001, ANN201
     return lookup.siblings(sections(spark, sf)).select("id", "prev_id", "next_id", "next_number")

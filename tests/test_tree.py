@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
 from lexatlas.operators import lookup, tree
 
 
@@ -38,3 +39,18 @@ def test_ancestors_and_breadcrumbs(spark):
     named = s.withColumnsRenamed({"document_id": "document", "ordinal": "ord"})
     paths = {r["ord"]: (r["parent"], r["path"]) for r in tree.breadcrumbs(named, "Root").collect()}
     assert paths[2] == (1, "Root > 0 t0 > 1 t1 > 2 t2") and paths[0] == (None, "Root > 0 t0")
+
+
+def test_nearest_for_many(spark):
+    """The same as one by one: ties of spelling, lengths without numbers, questions before and after all, repeated and null ones."""
+    from lexatlas.functions.numbers import normalize_number
+    from lexatlas.operators import lookup
+
+    rows = ["1", "2.1", "2.2", "2.9", "02.2", "2.02", "2.10", "10.1", "2.1.1", "2.1.2", "2.1.2", "1004.5", "1004.10.3"]
+    s = spark.createDataFrame([(x, x.count(".")) for x in rows], "number string, depth int").withColumn("number_norm", normalize_number(F.col("number")))
+    asked = ["2.3", "2.3", "0.1", "9999.9", "2.1.9", "1004.7", "x", "", "1004.5.6.7.8.9", "02.02"]
+    got = lookup.nearest_for(spark.createDataFrame([(a,) for a in [*asked, None]], "number string"), s).collect()
+    for a in set(asked):
+        assert [r["number"] for r in sorted(got, key=lambda r: r["rank"]) if r["asked"] == a] == [r["number"] for r in lookup.nearest_numbers(a, s).collect()], a
+    assert {r["asked"] for r in got} == set(asked)
+    assert lookup.nearest_for(spark.createDataFrame([], "number string"), s).count() == 0
