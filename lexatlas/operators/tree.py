@@ -7,7 +7,9 @@ pass runs per document over the few candidate blocks, not over the text.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,26 +33,34 @@ def accepted(candidates: DataFrame) -> DataFrame:
 
     ``candidates`` has (document, ord, inline, number_norm, depth) of all section headings; ``inline`` ones (paragraphs)
     that don't go up from the last accepted number under the same parent and depth are body text.
+
+    A task walks its documents' candidates in order, batch by batch. All that it keeps is the open path of the document at hand and the
+    last numbers beside that, so neither a document nor a batch of short ones is held as a whole.
     """
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        path: list[tuple[int, int]] = []  # (depth, ord) of the open sections
-        last: dict[tuple[int, int], str] = {}
-        kept = []
-        for row in group.sort_values("ord").itertuples():
-            above = [p for p in path if p[0] < row.depth]
-            # the open path ends at the first level that is not above
-            cut = next((i for i in range(len(path), 0, -1) if path[i - 1][0] < row.depth), 0)
-            above = path[:cut]
-            slot = (above[-1][1] if above else -1, row.depth)
-            if row.inline and slot in last and row.number_norm <= last[slot]:
-                continue
-            path = [*above, (row.depth, row.ord)]
-            last[slot] = row.number_norm
-            kept.append(row.ord)
-        return pd.DataFrame({"document": [group["document"].iloc[0]] * len(kept), "ord": pd.array(kept, "int32")})
-
-    return candidates.groupBy("document").applyInPandas(walk, "document string, ord int")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        path: list[tuple[int, dict[int, str]]] = []  # depth of each open section, and the last number of each depth right under it
+        for batch in batches:
+            keep = []
+            for document, inline, number, depth in zip(*(batch.column(c).to_pylist() for c in ("document", "inline", "number_norm", "depth")), strict=True):
+                if document != at or not path:
+                    at, path = document, [(-1, {})]
+                # the open path ends at the last level that is less deep; what is dropped from it can't come back
+                cut = len(path)
+                while cut > 1 and path[cut - 1][0] >= depth:
+                    cut -= 1
+                last = path[cut - 1][1]
+                stays = not (inline and depth in last and number <= last[depth])
+                if stays:
+                    del path[cut:]
+                    last[depth] = number
+                    path.append((depth, {}))
+                keep.append(stays)
+            yield batch.select(["document", "ord"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = candidates.select("document", F.col("ord").cast("int").alias("ord"), "inline", "number_norm", "depth")
+    return rows.repartition("document").sortWithinPartitions("document", "ord").mapInArrow(walk, "document string, ord int")
 
 
 def lineage(sections: DataFrame, carry: list[str]) -> DataFrame:
