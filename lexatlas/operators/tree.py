@@ -79,7 +79,7 @@ def lineage(sections: DataFrame, carry: list[str]) -> DataFrame:
     blocks = W.partitionBy("document").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     before = ends.select("document", "__block", *[F.last(c, ignorenulls=True).over(blocks).alias(c) for c in lasts])
     w = W.partitionBy("document", "__block").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumns({c: F.last(F.when(F.col("depth") == d, node), ignorenulls=True).over(w) for d, c in zip(depths, near, strict=True)}).join(before, ["document", "__block"])
+    s = s.withColumns({c: F.last(F.when(F.col("depth") == d, node), ignorenulls=True).over(w) for d, c in zip(depths, near, strict=True)}).join(before.hint("merge"), ["document", "__block"])
     s = s.withColumns({c: F.coalesce(c, o) for c, o in zip(near, lasts, strict=True)})
     open_, newest = [], F.lit(None).cast(sections.schema["ord"].dataType)
     for d, c in zip(depths, near, strict=True):
@@ -122,10 +122,17 @@ def build(blocks: DataFrame, grammar_name: str, corpus_title: str | None = None)
     so far with its number, else to the one that it stands in; a caption without a table is body text. A heading that
     is no section right after an untitled, empty one is its title.
     """
-    marked = classify(blocks, grammar_name).withColumn("is_section", F.coalesce(F.col("h.kind") == "section", F.lit(False))).withColumn("is_caption", F.coalesce(F.col("h.kind") == "table-caption", F.lit(False)))
+    marked = classify(blocks, grammar_name).select("document", "ord", "kind", "text", "page", "h")
+    marked = settled(marked).withColumns({"is_section": F.coalesce(F.col("h.kind") == "section", F.lit(False)), "is_caption": F.coalesce(F.col("h.kind") == "table-caption", F.lit(False))})
     candidates = marked.where("is_section").select("document", "ord", (F.col("kind") != "heading").alias("inline"), normalize_number(F.col("h.number")).alias("number_norm"), F.col("h.depth").alias("depth"))
-    opened = accepted(candidates).withColumn("opens", F.lit(True))
-    marked = marked.join(opened, ["document", "ord"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
+    opens = F.col("is_section")
+    doubtful = candidates.where("inline").select("document").distinct()
+    if not doubtful.isEmpty():
+        # only inline headings can be refused, so only their documents are walked
+        opened = accepted(candidates.join(doubtful.hint("merge"), "document", "left_semi")).withColumn("accepted", F.lit(True))
+        marked = marked.join(opened.hint("merge"), ["document", "ord"], "left")
+        opens = opens & ((F.col("kind") == "heading") | F.col("accepted").isNotNull())
+    marked = marked.withColumn("opens", F.coalesce(opens, F.lit(False)))
     w = W.partitionBy("document").orderBy("ord")
     # the section that a block stands in; -1 before the first
     marked = marked.withColumn("sec", F.coalesce(F.last(F.when(F.col("opens"), F.col("ord")), ignorenulls=True).over(w), F.lit(-1)))
@@ -135,34 +142,49 @@ def build(blocks: DataFrame, grammar_name: str, corpus_title: str | None = None)
     marked = marked.withColumn("cap", F.when(before("used") & (F.col("kind") == "table"), before("h")))
     heading_text = (F.col("kind") == "heading") & ~F.col("opens") & ~F.col("is_caption")
     absorbed = heading_text & F.coalesce(before("opens") & (F.col("h").isNull()) & (before("h.title") == "") & (before("h.remainder") == ""), F.lit(False)) & _title_like(F.col("text"))
-    marked = settled(marked.withColumn("absorbed", absorbed))
-
-    heads = marked.where("opens").select("document", "ord", "h.number", "h.title", "h.depth", "h.remainder", "h.supersedes", "h.alias")
-    late = marked.where("absorbed").select("document", F.col("sec").alias("ord"), F.trim("text").alias("late"))
-    heads = heads.join(late, ["document", "ord"], "left").withColumn("title", F.when(F.col("late").isNotNull(), title_case(F.col("late"))).otherwise(F.col("title"))).drop("late")
-    none = F.lit(None).cast("string")
-    front = marked.where((F.col("sec") == -1) & ~(F.col("is_caption") & F.col("used"))).select("document").distinct().select("document", F.lit(-1).alias("ord"), F.lit("FRONT").alias("number"), F.lit("Front matter").alias("title"), F.lit(0).alias("depth"), F.lit("").alias("remainder"), none.alias("supersedes"), none.alias("alias"))
-    sections = unique_numbers(heads.unionByName(front))
-    sections = settled(sections).withColumn("ordinal", (F.row_number().over(W.partitionBy("document").orderBy("ord")) - 1).cast("int"))
+    marked = marked.withColumn("absorbed", absorbed)
 
+    # what each block gives to its section: the heading, a later title, a paragraph or a table
     caption = F.trim(F.concat_ws(" ", F.lit("Table"), F.col("h.number"), F.col("h.title")))
-    prose = marked.where((~F.col("opens") & (F.col("kind") != "table") & ~F.col("is_caption") & ~F.col("absorbed")) | (F.col("is_caption") & ~F.col("used")))
-    prose = prose.select("document", F.col("sec").alias("ord"), F.col("ord").alias("at"), F.when(F.col("is_caption"), caption).otherwise(F.trim("text")).alias("p"))
-    lead = heads.where("remainder != ''").select("document", "ord", F.col("ord").alias("at"), F.trim("remainder").alias("p"))
-    bodies = prose.unionByName(lead).groupBy("document", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("paragraphs"))
-
-    tables = marked.where("kind = 'table'").select("document", "sec", F.col("ord").alias("at"), F.col("cap.number").alias("cn"), F.trim(F.concat_ws(" ", F.lit("Table"), F.col("cap.number"), F.col("cap.title"))).alias("caption"), F.col("text").alias("markdown"), "page")
-    named = sections.select(F.col("document").alias("d2"), F.col("number").alias("cn2"), F.col("ord").alias("o2"))
-    placed = tables.join(named, (F.col("document") == F.col("d2")) & (F.col("cn") == F.col("cn2")) & (F.col("o2") < F.col("at")), "left").withColumn("target", F.coalesce("o2", "sec"))
-    labels = sections.select(F.col("document").alias("d3"), F.col("ord").alias("o3"), label(F.col("number"), F.col("title")).alias("in_label"))
-    placed = placed.join(labels, (F.col("document") == F.col("d3")) & (F.col("sec") == F.col("o3")))
-    table = F.struct("at", F.when(F.col("cn").isNull(), F.concat(F.lit("Table in "), "in_label")).otherwise(F.col("caption")).alias("caption"), F.col("cn").alias("number"), "markdown", "page")
-    held = placed.groupBy("document", F.col("target").alias("ord")).agg(F.transform(F.array_sort(F.collect_list(table)), lambda t: F.struct(t["caption"].alias("caption"), t["number"].alias("number"), t["markdown"].alias("markdown"), t["page"].alias("page"))).alias("tables"))
-    spans = marked.groupBy("document", F.col("sec").alias("ord")).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-
-    out = sections.join(bodies, ["document", "ord"], "left").join(held, ["document", "ord"], "left").join(spans, ["document", "ord"], "left")
-    out = out.withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>"))).withColumn("tables", F.coalesce("tables", F.array().cast("array<struct<caption:string,number:string,markdown:string,page:int>>"))).withColumn("number_norm", normalize_number(F.col("number")))
-    return settled(out.join(breadcrumbs(sections, corpus_title), ["document", "ord"]).drop("alias", "remainder"))
+    prose = ((F.col("kind") != "table") & ~F.col("is_caption") & ~F.col("absorbed")) | (F.col("is_caption") & ~F.col("used"))
+    said = F.when(F.col("opens"), F.when(F.col("h.remainder") != "", F.trim("h.remainder"))).otherwise(F.when(F.col("is_caption"), caption).otherwise(F.trim("text")))
+    tells = F.when(F.col("opens"), F.col("h.remainder") != "").otherwise(prose)
+    named_by = F.when(F.col("cap.number").isNotNull(), F.trim(F.concat_ws(" ", F.lit("Table"), F.col("cap.number"), F.col("cap.title"))))
+    given = marked.select(
+        "document", "sec", "ord", "page",
+        F.when(F.col("opens"), F.struct("h.number", "h.title", "h.depth", "h.supersedes", "h.alias")).alias("head"),
+        F.when(F.col("absorbed"), F.trim("text")).alias("late"),
+        F.when(tells, F.struct(F.col("ord").alias("at"), said.alias("p"))).alias("said"),
+        F.when(F.col("kind") == "table", F.struct(F.col("ord").alias("at"), named_by.alias("caption"), F.col("cap.number").alias("number"), F.col("text").alias("markdown"), "page")).alias("table"),
+        (F.col("is_caption") & F.col("used")).alias("held"),
+    )
+    given = settled(given)
+    made = given.groupBy("document", F.col("sec").alias("ord")).agg(
+        F.max("head").alias("head"), F.max("late").alias("late"), F.array_sort(F.collect_list("said")).alias("said"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.min("held").alias("held")
+    )
+    made = settled(made.where((F.col("ord") >= 0) | ~F.col("held")))
+    none, is_front = F.lit(None).cast("string"), F.col("head").isNull()
+    title = F.when(is_front, "Front matter").when(F.col("late").isNotNull(), title_case(F.col("late"))).otherwise(F.col("head.title"))
+    plain = made.select(
+        "document", "ord", F.when(is_front, "FRONT").otherwise(F.col("head.number")).alias("number"), title.alias("title"),
+        F.when(is_front, 0).otherwise(F.col("head.depth")).alias("depth"), F.when(is_front, none).otherwise(F.col("head.supersedes")).alias("supersedes"), F.when(is_front, none).otherwise(F.col("head.alias")).alias("alias"),
+    )
+    sections = settled(unique_numbers(plain)).withColumn("ordinal", (F.row_number().over(W.partitionBy("document").orderBy("ord")) - 1).cast("int"))
+
+    # joins are merges: these tables pack so well that their files' sizes would have millions of rows broadcast
+    tables = given.where("table is not null").select("document", "sec", "table")
+    named = sections.select("document", F.col("number").alias("cn"), F.col("ord").alias("first"))
+    placed = tables.withColumn("cn", F.col("table.number")).join(named.hint("merge"), ["document", "cn"], "left")
+    placed = placed.withColumn("ord", F.when(F.col("first") < F.col("table.at"), F.col("first")).otherwise(F.col("sec")))
+    held = placed.groupBy("document", "ord").agg(F.array_sort(F.collect_list("table")).alias("tables"))
+
+    bodies = made.select("document", "ord", F.transform("said", lambda x: x["p"]).alias("paragraphs"), "page_start", "page_end")
+    paths = breadcrumbs(sections, corpus_title)
+    out = sections.join(bodies.hint("merge"), ["document", "ord"]).join(held.hint("merge"), ["document", "ord"], "left").join(paths.hint("merge"), ["document", "ord"])
+    in_ = F.concat(F.lit("Table in "), label(F.col("number"), F.col("title")))
+    listed = F.transform("tables", lambda t: F.struct(F.coalesce(t["caption"], in_).alias("caption"), t["number"].alias("number"), t["markdown"].alias("markdown"), t["page"].alias("page")))
+    empty = F.array().cast("array<struct<caption:string,number:string,markdown:string,page:int>>")
+    return settled(out.withColumns({"tables": F.coalesce(listed, empty), "number_norm": normalize_number(F.col("number"))}).drop("alias"))
 
 
 def tag_amendments(sections: DataFrame, layer: str) -> DataFrame:

@@ -77,3 +77,13 @@ def test_accepted_in_one_pass(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_build_broadcasts_nothing(spark, monkeypatch):
+    """Files that pack well aren't taken for small tables: no join of the sections is a broadcast."""
+    made, own = [], tree.settled
+    monkeypatch.setattr(tree, "settled", lambda df: (made.append(df._jdf.queryExecution().toString()), own(df))[1])
+    blocks = [("d", i, "heading" if i % 5 == 0 else "paragraph", f"{1000 + i} Rules" if i % 5 == 0 else "Text.", 1, 1, None, False) for i in range(40)]
+    schema = "document string, ord int, kind string, text string, page int, level int, font_size double, bold boolean"
+    assert tree.build(spark.createDataFrame(blocks, schema), "code").count() == 8
+    assert len(made) == 5 and not any("BroadcastHashJoin" in p for p in made)
