@@ -24,11 +24,10 @@ def ranks(docs: DataFrame, settings: dict) -> DataFrame:
     Null texts hold no terms; a null id asks nothing. Rows with one id are hits of their own, as often as they stand.
     """
     asking = docs.where((F.col("doc_id") % settings["every"]) == 0).select(F.col("doc_id").alias("question"), "text", F.coalesce("lang", F.lit("")).alias("tag"))
-    asked = settled(batch.question_terms(asking, most=settings["terms"]).distinct())
-    found = settled(batch.matches(batch.places(docs, asked, "doc_id"), asked))
+    found = settled(batch.lexical_top(docs, batch.question_terms(asking, most=settings["terms"]), settings["k"], tuple(settings["modes"]), "doc_id"))
     out = None
     for mode in settings["modes"]:
-        hits = batch.lexical_best(found, settings["k"], mode)
+        hits = found.where(F.col("mode") == mode).drop("mode")
         of = asking.select("question", "tag").distinct().join(hits, "question", "left")
         row = of.select("question", "tag", "rank", "id", "places", F.coalesce(F.col("id") == F.col("question"), F.lit(False)).alias("expected"), F.lit(mode).alias("mode"))
         out = row if out is None else out.unionByName(row)

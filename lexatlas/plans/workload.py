@@ -249,7 +249,7 @@ def _batch_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """All documents whose id is a multiple of 100 ask with their first twelve terms."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = batch.question_terms(d.where(F.col("id") % 100 == 0).select(F.col("id").alias("question"), "text"), most=12, stop=[])
-    return batch.lexical_best(batch.matches(batch.places(d, asked, stop=[]), asked))
+    return batch.lexical_top(d, asked, stop=[]).drop("mode")
 
 
 @query(f"WITH {_ASKED} SELECT * FROM l WHERE rank <= 40")

@@ -63,3 +63,21 @@ def test_all_of_and_stems(spark, indexed, tmp_path):
     assert rows(stems.any_of(["doors"], 5)) == [(1, 0.2), (2, 0.1)]
     assert {r["key"]: r["places"] for r in stems.of(["door"]).collect()} == {1: [0, 4], 2: [2]}
     assert stems.any_of([], 5).count() == 0
+
+
+def test_lexical_top_is_matches_without_pairs(spark):
+    """The same as by pairs in all modes: rows of one key, null keys and texts, ties, more rows than k; and no pair is dealt."""
+    import random
+
+    from lexatlas.operators import batch
+
+    rng = random.Random(3)
+    rows = [(i if i % 9 else None if i % 2 else 90, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(12)))) for i in range(120)] + [(500, None)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "zz"), (4, "a"), (4, "zz")], "question long, term string")
+    got = batch.lexical_top(docs, asked, 7, ("strict", "any", "both"), stop=[]).collect()
+    by_pairs = batch.matches(batch.places(docs, asked, stop=[]), asked)
+    for mode in ("strict", "any", "both"):
+        want = {tuple(r) for r in batch.lexical_best(by_pairs, 7, mode).collect()}
+        assert {tuple(r)[1:] for r in got if r["mode"] == mode} == want, mode
+    assert batch.lexical_top(docs, asked.limit(0), 7, stop=[]).count() == 0
