@@ -29,7 +29,6 @@ def count_tokens(text: Column) -> Column:
 def pack(paragraphs: Column, crumb: Column, target: int = 600, cap: int = 900, count: Callable[[Column], Column] = count_tokens) -> Column:
     """Pieces of whole paragraphs, and of whole sentences of paragraphs that are too long, each within the cap with its
     breadcrumb. Greedy from the front: a fold over units with their counts."""
-    budget = F.lit(cap) - count(crumb) - 4
     entry = lambda t: F.struct(t.alias("t"), count(t).alias("n"))
 
     def fold(units: Column, limit: Column, joiner: str) -> Column:
@@ -45,8 +44,11 @@ def pack(paragraphs: Column, crumb: Column, target: int = 600, cap: int = 900, c
 
         return F.aggregate(units, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], joiner)))).otherwise(a["out"]))
 
-    units = F.flatten(F.transform(paragraphs, lambda p: F.when(count(p) <= budget, F.array(p)).otherwise(fold(F.transform(F.split(p, SENTENCE), entry), budget, " "))))
-    return fold(F.transform(units, entry), F.least(F.lit(target), budget), "\n\n")
+    def packed(budget: Column) -> Column:
+        units = F.flatten(F.transform(paragraphs, lambda p: F.when(count(p) <= budget, F.array(p)).otherwise(fold(F.transform(F.split(p, SENTENCE), entry), budget, " "))))
+        return fold(F.transform(units, entry), F.least(F.lit(target), budget), "\n\n")
+
+    return extract.held(F.lit(cap) - count(crumb) - 4, packed)
 
 
 def chunk_sections(sections: DataFrame, grammar: str, target: int = 600, cap: int = 900, count: Callable[[Column], Column] = count_tokens) -> DataFrame:

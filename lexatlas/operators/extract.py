@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +24,36 @@ def split_exceptions(paragraphs: Column) -> Column:
     for each paragraph; all others are body. Null gives empty arrays.
     """
     p = F.coalesce(paragraphs, F.array().cast("array<string>"))
-    opens = F.transform(p, lambda x: x.rlike(EXCEPTION))
-    ends = F.transform(p, lambda x: F.rtrim(x).rlike(r"[.;:]$"))
-    starts = F.transform(p, lambda x, i: F.get(opens, i) | (i == 0) | ~(x.rlike(ITEM) | ~F.get(ends, i - 1)))
-    place = F.filter(F.transform(starts, lambda s, i: F.when(s, i)), lambda i: i.isNotNull())
-    stop = F.concat(F.slice(place, 2, F.greatest(F.size(place), F.lit(1))), F.array(F.size(p)))
-    runs = F.transform(F.arrays_zip(place.alias("at"), stop.alias("to")), lambda r: F.when(r["at"].isNotNull(), F.struct(F.get(opens, r["at"]).alias("out"), F.slice(p, r["at"] + 1, r["to"] - r["at"]).alias("ps"))))
-    runs = F.filter(runs, lambda r: r.isNotNull())
+    return held(F.transform(p, lambda x: F.struct(x.alias("p"), x.rlike(EXCEPTION).alias("opens"), F.rtrim(x).rlike(r"[.;:]$").alias("ends"), x.rlike(ITEM).alias("item"))), _runs)
+
+
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once for each row; named twice in an expression it is made twice, inside a lambda for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(marks: Column) -> Column:
+    starts = F.transform(marks, lambda x, i: F.when(x["opens"] | (i == 0) | ~(x["item"] | ~F.get(marks, i - 1)["ends"]), i))
+    return held(F.filter(starts, lambda i: i.isNotNull()), lambda place: _split(marks, place))
+
+
+def _split(marks: Column, place: Column) -> Column:
+    """The runs of ``marks`` that start at each ``place``, cut once and told apart by what opens them."""
+    stop = lambda i: F.coalesce(F.get(place, i + 1), F.size(marks))
+    run = lambda at, i: F.struct(F.get(marks, at)["opens"].alias("out"), F.transform(F.slice(marks, at + 1, stop(i) - at), lambda x: x["p"]).alias("ps"))
     text = lambda r: F.array_join(F.transform(r["ps"], lambda x: F.trim(x)), "\n")
-    return F.struct(F.flatten(F.transform(F.filter(runs, lambda r: ~r["out"]), lambda r: r["ps"])).alias("body"), F.transform(F.filter(runs, lambda r: r["out"]), text).alias("exceptions"))
+    return held(F.transform(place, run), lambda runs: F.struct(F.flatten(F.transform(F.filter(runs, lambda r: ~r["out"]), lambda r: r["ps"])).alias("body"), F.transform(F.filter(runs, lambda r: r["out"]), text).alias("exceptions")))
 
 
 def split_definitions(body: Column) -> Column:
     """Array of struct(term, definition); at least two terms are needed, empty definitions are left out."""
-    terms = F.regexp_extract_all(body, F.lit(TERM), F.lit(1))
-    texts = F.slice(F.split(F.regexp_replace(body, TERM, _MARK), _MARK), 2, F.greatest(F.size(terms), F.lit(1)))
-    pairs = F.transform(F.arrays_zip(terms.alias("t"), texts.alias("d")), lambda x: F.struct(F.trim(x["t"]).alias("term"), F.regexp_replace(x["d"], r"^\s+|\s+$", "").alias("definition")))
-    return F.when(F.size(terms) >= 2, F.filter(pairs, lambda x: x["definition"] != "")).otherwise(F.array().cast("array<struct<term:string,definition:string>>"))
+
+    def pairs(terms: Column) -> Column:
+        texts = F.slice(F.split(F.regexp_replace(body, TERM, _MARK), _MARK), 2, F.greatest(F.size(terms), F.lit(1)))
+        each = F.transform(F.arrays_zip(terms.alias("t"), texts.alias("d")), lambda x: F.struct(F.trim(x["t"]).alias("term"), F.regexp_replace(x["d"], r"^\s+|\s+$", "").alias("definition")))
+        return F.when(F.size(terms) >= 2, F.filter(each, lambda x: x["definition"] != "")).otherwise(F.array().cast("array<struct<term:string,definition:string>>"))
+
+    return held(F.regexp_extract_all(body, F.lit(TERM), F.lit(1)), pairs)
 
 
 def cross_refs(text: Column) -> Column:

@@ -291,3 +291,27 @@ def test_files_that_no_parser_takes_are_told(spark):
     assert files.all_blocks(known).count() == 1
     with pytest.raises(Exception, match="no parser for b.xyz"):
         files.file_blocks(known.unionByName(other)).collect()
+
+
+def test_split_exceptions_reads_each_paragraph_once(spark):
+    """Long sections: 3,000 paragraphs took a pass over all for each before; the parts are those of a plain walk, in an expression that is not named over and over."""
+    import random
+
+    rng = random.Random(5)
+    ps = [rng.choice(("Exception: a.", "1. b.", "- c", "d.", " e ", "f;")) for _ in range(3000)]
+    body, out, runs = [], [], []
+    for i, p in enumerate(ps):
+        item = p.startswith(("1.", "- "))
+        if p.startswith("Exception") or i == 0 or not (item or ps[i - 1].rstrip()[-1] not in ".;:"):
+            runs.append([])
+        runs[-1].append(p)
+    for r in runs:
+        if r[0].startswith("Exception"):
+            out.append("\n".join(p.strip() for p in r))
+        else:
+            body += r
+    found = spark.createDataFrame([(ps,), (None,), ([],)], "ps array<string>").select(extract.split_exceptions(F.col("ps")).alias("x"))
+    got = [r["x"] for r in found.collect()]
+    assert got[0]["body"] == body and got[0]["exceptions"] == out
+    assert all(g["body"] == [] and g["exceptions"] == [] for g in got[1:])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i)^") == 1
