@@ -57,9 +57,10 @@ def placed(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(items), bool)
     new[1:] = items[1:] != items[:-1]
     starts = np.flatnonzero(new)
-    place = np.empty(len(items), np.int32)
-    place[order] = np.cumsum(new, dtype=np.int32) - 1
-    return items[starts], np.add.reduceat(weights[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64), place
+    items = items[starts]
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return items, np.add.reduceat(weights[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64), place
 
 
 def tally(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ def tally(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(items)
     items = items[order]
     starts = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
-    return items[starts], np.add.reduceat(weights[order].astype(np.int64), starts)
+    return items[starts], np.add.reduceat(weights[order], starts, dtype=np.int64)
 
 
 def _part(items: np.ndarray, parts: int) -> np.ndarray:
@@ -130,9 +131,11 @@ def answers(shipped: DataFrame, name: str) -> DataFrame:
         n = [len(x) for x in lists]
         items = np.concatenate(lists)
         counts = np.concatenate([unpacked(x.as_py()) for x in t.column("counts")]).astype(np.int64)
-        owner = np.repeat(block, n)
+        owner = np.repeat(block.astype(np.int32), n)
+        del lists
         order = np.lexsort((owner, items))
         items, owner, counts = items[order], owner[order], counts[order]
+        del order
         # one entry per item and block
         new = np.concatenate([[True], (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])])
         at = np.flatnonzero(new)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._counts import BLOCK_BYTES, RUNS, answers, count_blocks, in_block, known, placed, runs, statistics, tally, with_block
-from ._text import mix, slices, word_hashes
+from ._text import mix, slices, trim, word_hashes
 from ._work import blocks_of
 
 _U = np.uint64
@@ -139,37 +139,50 @@ class Block:
         whose second pair is, too, hashes of their triples)."""
         second = np.ones(len(self.word), bool)
         second[self.firsts[:-1]] = False
-        at = np.flatnonzero(second)
+        at = np.flatnonzero(second).astype(np.int32)
         often = self.pair_counts >= LEAST
         at = at[often[self.pair[at - 1]]]
-        ends = np.flatnonzero(often[self.pair[at]])
+        ends = np.flatnonzero(often[self.pair[at]]).astype(np.int32)
         before = self.pairs[self.pair[at - 1]]
         triple = mix(before[ends] * _U(0xC2B2AE3D27D4EB4F) + self.words[self.word[at[ends]]]) | _U(1)
         return at, _one(mix(before ^ _U(0x165667B19E3779F9))), ends, triple
 
-    def tallied(self) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts and triples, how often each is learnt); a context counts for each triple that it begins."""
-        at, context, ends, triple = self.longer()
+    def tallied(self, longer: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(contexts and triples of ``longer``, how often each is learnt); a context counts for each triple that it begins."""
+        at, context, ends, triple = longer
         learn = self.learn[at[ends]].astype(np.int32)
         begins = np.zeros(len(at), np.int32)
         begins[ends] = learn
         return np.concatenate([triple, context]), np.concatenate([learn, begins])
 
 
+def _rank(odd: np.ndarray) -> np.ndarray:
+    """The place of each item among those of its kind."""
+    return np.where(odd, np.cumsum(odd, dtype=np.int32), np.cumsum(~odd, dtype=np.int32)) - np.int32(1)
+
+
 def block_of(own: pa.Table, answer: pa.Table, parts: int) -> Block:
     batches = list(slices(iter(own.combine_chunks().to_batches()), "t"))
     found = [tokens_of(b.column("t")) for b in batches]
-    word, before = (np.concatenate([p[i] for p in found] or [np.zeros(0, _U)]) for i in (0, 1))
     sizes = np.concatenate([np.diff(p[2]) for p in found] or [np.zeros(0, np.int64)])
     firsts = np.concatenate([[0], np.cumsum(sizes)])
+    n = int(firsts[-1])
+    both, at = np.empty(2 * n, _U), 0  # words, then their pairs
+    word = before = None
+    while found:
+        word, before, _ = found.pop(0)
+        both[at : at + len(word)] = word
+        both[n + at : n + at + len(word)] = _two(before, word)
+        at += len(word)
+    del batches, word, before
     out = pc.fill_null(own.column("out"), False).combine_chunks().to_numpy(zero_copy_only=False)
     learn = np.repeat(~out, sizes)
-    items, counts, place = placed(np.concatenate([word, _two(before, word)]), np.concatenate([learn, learn]))
+    items, counts, place = placed(both, np.concatenate([learn, learn]))
+    del both
     totals = known(answer, items, counts, parts)
     double = items & _U(1) == 1
-    rank = np.where(double, np.cumsum(double), np.cumsum(~double)) - 1
-    place = rank[place]
-    index, pair = place[: len(word)], place[len(word) :]
+    place = _rank(double)[place]
+    index, pair = place[:n], place[n:]
     begin = int(np.searchsorted(items[~double], END & ~_U(1)))  # every text has an end
     previous = np.empty_like(index)
     previous[1:] = index[:-1]
@@ -177,6 +190,18 @@ def block_of(own: pa.Table, answer: pa.Table, parts: int) -> Block:
     return Block(items[~double], totals[~double], items[double], totals[double], index, pair, previous, firsts, learn, begin)
 
 
+def triples_of(b: Block, answer: pa.Table, parts: int) -> tuple[np.ndarray, ...]:
+    """What :func:`automaton` takes of a block's triples, with the corpus' counts."""
+    more = b.longer()
+    items, counts, place = placed(*b.tallied(more))
+    at, ends, n = more[0], more[2], len(more[3])
+    del more
+    totals = known(answer, items, counts, parts)
+    odd = items & _U(1) == 1
+    place = _rank(odd)[place]
+    return at, place[n:], ends, place[:n], totals[~odd], totals[odd]
+
+
 def automaton(b: Block, triples: tuple[np.ndarray, ...], total: int, kinds: int, discount: float, prior: float, prior_two: float) -> tuple[Automaton, np.ndarray]:
     """(the part of the model that a block can reach, which triple's arc each token would be).
 
@@ -191,30 +216,40 @@ def automaton(b: Block, triples: tuple[np.ndarray, ...], total: int, kinds: int,
     with np.errstate(divide="ignore"):
         uni = np.log10(p)
     # a word with a count is a context: state 1 + its index; others lead back to the root
-    following = np.append(np.where(counts > 0, np.arange(1, n + 1), 0), 0)
-    some = np.empty(len(b.pairs), np.int64)  # a place where each pair stands
-    some[b.pair] = np.arange(len(b.pair))
+    following = np.append(np.where(counts > 0, np.arange(1, n + 1), 0), 0).astype(np.int32)
+    # each array goes as soon as it has been used: a block's memory is a task's
+    last = lambda x, v: np.append(x, v)
+    at, context, ends, triple, context_counts, triple_counts = triples
+    some = np.empty(len(b.pairs), np.int32)  # a place where each pair stands
+    some[b.pair] = np.arange(len(b.pair), dtype=np.int32)
     first, second = b.previous[some], b.word[some]
+    del some
     # pairs that only unlearnt texts have are no arcs: no state has their key
     seen = b.pair_counts > 0
     two = (b.pair_counts + prior * p[second]) / (counts[first] + prior)
-    at, context, ends, triple, context_counts, triple_counts = triples
-    of = np.full(len(b.pairs), -1, np.int64)  # the state of each pair that is a context
-    of[b.pair[at - 1]] = n + 1 + context
-    nexts = np.where(of >= 0, of, following[second])
-    keys = np.where(seen, (first.astype(np.int64) + 1) * (n + 1) + second, -1)
-    fail = np.zeros(n + 1 + len(context_counts), np.int64)
+    keys = last(np.where(seen, (first.astype(np.int64) + 1) * (n + 1) + second, -1), -1)
+    del first
+    nexts = np.full(len(b.pairs) + 1, -1, np.int32)  # the state of each pair that is a context
+    nexts[b.pair[at - 1]] = n + 1 + context
+    nexts[:-1] = np.where(nexts[:-1] >= 0, nexts[:-1], following[second])
+    nexts[-1] = 0
+    del second
+    fail = np.zeros(n + 1 + len(context_counts), np.int32)
     fail[n + 1 + context] = following[b.word[at - 1]]
     fail_weight = np.concatenate([[0.0], np.log10(prior / (counts + prior)), np.log10(prior_two / (context_counts + prior_two))])
-    some = np.empty(len(triple_counts), np.int64)
+    some = np.empty(len(triple_counts), np.int32)
     some[triple] = ends
-    end, state = at[some], n + 1 + context[some]
-    three = (triple_counts + prior_two * two[b.pair[end]]) / (context_counts[context[some]] + prior_two)
-    triple_keys = np.where(triple_counts > 0, state * (n + 1) + b.word[end], -1)
-    arcs = np.full(len(b.word), len(triple_counts), np.int64)
+    end, state = at[some], context[some]
+    del some
+    three = (triple_counts + prior_two * two[b.pair[end]]) / (context_counts[state] + prior_two)
+    three = last(np.log10(np.maximum(three, 1e-300)), 0.0)
+    two = last(np.log10(np.where(seen, two, 1.0)), 0.0)
+    triple_keys = last(np.where(triple_counts > 0, (state.astype(np.int64) + n + 1) * (n + 1) + b.word[end], -1), -1)
+    triple_next = last(nexts[b.pair[end]], np.int32(0))
+    del end, state, seen
+    arcs = np.full(len(b.word), len(triple_counts), np.int32)
     arcs[at[ends]] = triple
-    last = lambda x, v: np.append(x, v)
-    return Automaton(last(keys, -1), last(np.log10(np.where(seen, two, 1.0)), 0.0), last(nexts, 0), last(triple_keys, -1), last(np.log10(np.maximum(three, 1e-300)), 0.0), last(nexts[b.pair[end]], 0), fail, fail_weight, uni, following), arcs
+    return Automaton(keys, two, nexts, triple_keys, three, triple_next, fail, fail_weight, uni, following), arcs
 
 
 def held_out(key: Column) -> Column:
@@ -249,7 +284,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
         if not len(own):
             return pa.Table.from_batches([], _RUNS)
         b = block_of(own, answer, blocks)
-        return pa.Table.from_batches([runs(own.column("block")[0].as_py(), *tally(*b.tallied()), blocks)]).cast(_RUNS)
+        return pa.Table.from_batches([runs(own.column("block")[0].as_py(), *tally(*b.tallied(b.longer())), blocks)]).cast(_RUNS)
 
     def judge(own: pa.Table, answer: pa.Table) -> pa.Table:
         if not len(own):
@@ -259,16 +294,16 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", prior: float
         nothing = np.zeros(0, np.int64)
         found = (nothing,) * 6
         if order > 2:
-            at, _, ends, triple = b.longer()
-            items, counts, place = placed(*b.tallied())
-            totals = known(level(2), items, counts, blocks)
-            odd = items & _U(1) == 1
-            place = (np.where(odd, np.cumsum(odd), np.cumsum(~odd)) - 1)[place]
-            found = at, place[len(triple) :], ends, place[: len(triple)], totals[~odd], totals[odd]
+            found = triples_of(b, level(2), blocks)
         m, arcs = automaton(b, found, total, kinds, discount, prior, prior_two)
-        result = m.traverse(b.word, np.minimum(b.pair, len(m.pair_keys) - 1), arcs, b.firsts, int(m.word_next[b.begin]))
+        # the walk needs arcs and states only
+        del found
+        b.pairs = b.pair_counts = b.previous = nothing
+        trim()
+        result = m.traverse(b.word, b.pair, arcs, b.firsts, int(m.word_next[b.begin]))
+        del m, arcs
+        base = np.log10((b.word_counts + 1) / (total + kinds + 1))[b.word]
         per = b.word_counts[b.word]
-        base = np.log10((per + 1) / (total + kinds + 1))
         add = lambda x: np.add.reduceat(x, b.firsts[:-1])
         sizes = np.diff(b.firsts).astype(np.int64)
         return pa.table([own.column("key"), own.column("out"), pa.array(sizes), pa.array(add((per > 0).astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base)), pa.array(result)], scores)

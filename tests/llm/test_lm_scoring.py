@@ -109,3 +109,31 @@ def test_what_stands_twice_scores_apart(spark):
     rows[9] = (rows[9][0], " ".join(mixed))
     got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[rows[3][0]] > got[rows[9][0]] + 0.05
+
+
+def test_memory_of_a_block():
+    """What a task holds of a block: the arrays of 200,000 tokens, all of whose pairs are contexts, stay within bytes a token."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20_000, 1_000)) for _ in range(200)]
+    own = pa.table({"key": list(range(200)), "t": texts, "out": [False] * 200, "block": [0] * 200})
+    none = pa.table({"part": pa.array([], pa.int64()), "places": pa.array([], pa.binary()), "totals": pa.array([], pa.binary())})
+    lm.block_of(own, none, 4)  # the hashes' tables of powers stay
+    tracemalloc.start()
+    try:
+        b = lm.block_of(own, none, 4)
+        tokens = len(b.word)
+        assert tracemalloc.get_traced_memory()[1] < 105 * tokens
+        b.pair_counts = np.maximum(b.pair_counts, lm.LEAST)
+        tracemalloc.reset_peak()
+        found = lm.triples_of(b, none, 4)
+        m, arcs = lm.automaton(b, found, tokens, len(b.words), 0.5, lm.PRIOR, lm.PRIOR_TWO)
+        got = m.traverse(b.word, b.pair, arcs, b.firsts, int(m.word_next[b.begin]))
+        assert tracemalloc.get_traced_memory()[1] < 190 * tokens
+        assert (got < 0).all()
+    finally:
+        tracemalloc.stop()
