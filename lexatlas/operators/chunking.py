@@ -96,6 +96,24 @@ def windows(tokens: DataFrame, size: int = 512) -> DataFrame:
     return texts.where("text != ''").join(best, ["document", "window"])
 
 
+def windows_within(tokens: Column, size: int = 512) -> Column:
+    """Array of struct(window, owner, n_tokens, text) of a document that stands in one row: as :func:`windows` makes them, without dealing tokens.
+
+    ``tokens`` is an array of struct(owner, token) in order."""
+
+    def one(piece: Column, w: Column) -> Column:
+        owners = F.transform(piece, lambda x: x["owner"])
+        most = lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda o: F.struct(F.size(F.filter(all_, lambda x: x.eqNullSafe(o))).alias("n"), (-F.array_position(all_, o)).alias("at"), o.alias("owner"))))["owner"]
+        text = F.trim(F.array_join(F.transform(piece, lambda x: x["token"]), ""))
+        return F.struct(w.cast("long").alias("window"), extract.held(owners, most).alias("owner"), F.size(piece).cast("long").alias("n_tokens"), text.alias("text"))
+
+    def cut(t: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / size).cast("int")), lambda w: one(F.slice(t, w * size + 1, F.lit(size)), w))
+        return F.when(F.size(t) > 0, F.filter(made, lambda x: x["text"] != ""))
+
+    return extract.held(tokens, cut)
+
+
 def fixed_windows(text: Column, size: int = 512) -> Column:
     """Array of struct(window, n_tokens, text): a text's windows of ``size`` tokens, made within its row.
 

@@ -594,8 +594,10 @@ def html_blocks(spark, sf):  # noqa: ANN001, ANN201
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) - 1 AS pos FROM documents)
 SELECT doc_id, (pos // 512)::BIGINT AS win, count(*) AS n_tokens FROM t GROUP BY 1, 2""")
 def naive_windows(spark, sf):  # noqa: ANN001, ANN201
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("document"), F.posexplode(vectors.bow_tokens(F.col("text"))).alias("pos", "token")).withColumn("owner", F.floor(F.col("pos") / 100))
-    return chunking.windows(t).select(F.col("document").alias("doc_id"), F.col("window").alias("win"), "n_tokens")
+    tokens = F.transform(vectors.bow_tokens(F.col("text")), lambda t, i: F.struct(F.floor(i / 100).alias("owner"), t.alias("token")))
+    made = table(spark, sf, "documents").select("doc_id", F.inline(chunking.windows_within(tokens)))
+    # rows of one id are one document
+    return made.groupBy("doc_id", F.col("window").alias("win")).agg(F.sum("n_tokens").alias("n_tokens"))
 
 
 @query()

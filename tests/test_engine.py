@@ -315,3 +315,18 @@ def test_split_exceptions_reads_each_paragraph_once(spark):
     assert got[0]["body"] == body and got[0]["exceptions"] == out
     assert all(g["body"] == [] and g["exceptions"] == [] for g in got[1:])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i)^") == 1
+
+
+def test_windows_within_rows(spark):
+    """Windows made within a row are those of dealt tokens: owners by most tokens, of equals the first; blank windows left out."""
+    from pyspark.sql import functions as F
+
+    from lexatlas.operators import chunking
+
+    docs = [(1, [(0, "a"), (1, "b"), (1, "c"), (0, "d"), (2, "e")]), (2, [(0, " "), (0, " "), (0, " "), (0, " "), (3, "x")]), (3, [])]
+    frame = spark.createDataFrame(docs, "document long, tokens array<struct<owner:int,token:string>>")
+    dealt = frame.select("document", F.posexplode("tokens").alias("pos", "x")).select("document", "pos", "x.owner", "x.token")
+    names = ["document", "window", "owner", "n_tokens", "text"]
+    within = frame.select("document", F.inline(chunking.windows_within(F.col("tokens"), 4)))
+    assert sorted(map(tuple, within.select(names).collect())) == sorted(map(tuple, chunking.windows(dealt, 4).select(names).collect()))
+    assert "Exchange" not in within._jdf.queryExecution().executedPlan().toString()
