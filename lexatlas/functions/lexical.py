@@ -29,6 +29,20 @@ def terms(text: Column, stop: list[str] | None = None) -> Column:
     return F.transform(tokens(text), lambda t: F.when(~t.isin(STOP if stop is None else stop) if (stop is None or stop) else F.lit(True), t))
 
 
+def gathered(found: Column) -> Column:
+    """Array of struct(term, places) of a row's terms (an array in order, null ones left out), made within the row: its (term, place) pairs in
+    order, cut where the term changes."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    pairs = F.sort_array(F.filter(F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("place"))), lambda x: x["term"].isNotNull()))
+
+    def cut(e: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(e, i)["term"] != F.get(e, i - 1)["term"]))
+        places = lambda f, to: F.transform(F.slice(e, f + 1, to - f), lambda x: x["place"])
+        return once(new, lambda n: F.transform(n, lambda f, j: F.struct(F.get(e, f)["term"].alias("term"), places(f, F.coalesce(F.get(n, j + 1), F.size(e))).alias("places"))))
+
+    return once(pairs, lambda e: F.when(F.size(e) > 0, cut(e)))
+
+
 def postings(chunks: DataFrame, key: str = "id", text: str = "text", stop: list[str] | None = None) -> DataFrame:
     """(term, key, places): the inverted index, one row per term and row of ``chunks``."""
     listed = chunks.select(F.col(key).alias("key"), F.posexplode(terms(F.col(text), stop)).alias("place", "term")).where("term is not null")

@@ -28,20 +28,24 @@ ENDS = ((r"^(.*[aeiouy].+)ly$", ""), (r"([^aeiou])y$", "i"), (r"^(.*[aeiouy].+)e
 
 def stem(term: Column) -> Column:
     """A word without plural, tense, -ly and a last e; other terms, such as numbers, stay as they are."""
+    # what is read several times is made once: a step takes the one before as its variable
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     out = term
     for pattern in PLURALS:
         out = F.regexp_replace(out, pattern, "$1")
-    cut = F.regexp_replace(out, FORMS, "$1")
-    out = F.when((cut != out) & cut.rlike(DOUBLED), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+    single = lambda c, o: F.when((c != o) & c.rlike(DOUBLED), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    out = once(out, lambda o: once(F.regexp_replace(o, FORMS, "$1"), lambda c: single(c, o)))
     for pattern, more in ENDS:
         out = F.regexp_replace(out, pattern, f"$1{more}")
-    return F.when(term.rlike("^[a-z]{4,}$"), out).otherwise(term)
+    # a word that ends otherwise keeps its end
+    may = F.substring(term, -1, 1).isin("s", "g", "d", "y", "e")
+    return F.when(may & term.rlike("^[a-z]{4,}$"), out).otherwise(term)
 
 
 def stemmed(postings: DataFrame) -> DataFrame:
-    """Postings (term, key, places) by stem. The stem of each distinct term is made once; terms of one stem share their places."""
-    words = settled(postings.select("term").distinct().select("term", stem(F.col("term")).alias("stem")))
-    met = postings.join(words, "term").groupBy(F.col("stem").alias("term"), "key")
+    """Postings (term, key, places) by stem; terms of one stem share their places. Stems are made where the postings stand, so these are dealt
+    once, by stem and key."""
+    met = postings.where("term is not null").groupBy(stem(F.col("term")).alias("term"), "key")
     return met.agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
 
 
@@ -103,11 +107,14 @@ def build(postings: DataFrame, path: str, stems: bool = False, span: int = SPAN,
 
     A term that most rows have is split into ranges of keys, so it is no single task's, here or in a search."""
     spark = postings.sparkSession
-    rows = (stemmed(postings) if stems else postings).select("term", F.floor(F.col("key") / span).cast("long").alias("range"), "key", F.size("places").cast("long").alias("n"), "places")
-    rows = settled(rows)
-    order = ["term", "range", "key"]
-    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    dealt.sortWithinPartitions(*order).write.option("parquet.block.size", GROUP).parquet(f"{path}/rows")
-    best = spark.read.parquet(f"{path}/rows").groupBy("term", "range").agg(F.max("n").alias("best"), F.count("*").alias("rows"))
-    best.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.option("parquet.block.size", GROUP).parquet(f"{path}/maxima")
+    rows = settled((stemmed(postings) if stems else postings).select("term", "key", "places"))
+    # ranges go up with keys, so this is the order of (term, range, key), and what follows from key and places isn't dealt
+    order = ["term", "key"]
+    dealt = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    dealt = dealt.select("term", F.floor(F.col("key") / span).cast("long").alias("range"), "key", F.size("places").cast("long").alias("n"), "places")
+    dealt.write.option("parquet.block.size", GROUP).parquet(f"{path}/rows")
+    # dealt once: ranges of (term, range) hold all rows of each
+    near = spark.read.parquet(f"{path}/rows").select("term", "range", "n").repartitionByRange("term", "range")
+    best = near.groupBy("term", "range").agg(F.max("n").alias("best"), F.count("*").alias("rows"))
+    best.sortWithinPartitions("term", "range").write.option("parquet.block.size", GROUP).parquet(f"{path}/maxima")
     return TermIndex(spark, path, stems)

@@ -78,9 +78,12 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings of the documents' unfiltered [a-z0-9]+ tokens."""
-    listed = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.posexplode(vectors.bow_tokens(F.col("text"))).alias("place", "term"))
-    return listed.groupBy("term", "key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    """Postings of the documents' unfiltered [a-z0-9]+ tokens, made within each row; only where ids repeat are they dealt and merged."""
+    d = table(spark, sf, "documents")
+    listed = d.select(F.col("doc_id").alias("key"), F.inline(lexical.gathered(vectors.bow_tokens(F.col("text"))))).select("term", "key", "places")
+    if d.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return listed
+    return listed.groupBy("term", "key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
 
 
 TERMS = ["and", "the", "was"]

@@ -81,3 +81,42 @@ def test_lexical_top_is_matches_without_pairs(spark):
         want = {tuple(r) for r in batch.lexical_best(by_pairs, 7, mode).collect()}
         assert {tuple(r)[1:] for r in got if r["mode"] == mode} == want, mode
     assert batch.lexical_top(docs, asked.limit(0), 7, stop=[]).count() == 0
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange ")
+
+
+def test_postings_within_rows(spark):
+    """The places of each term as the dealt postings have them; nothing is dealt."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["a1", "b", "the", "été", "zz"]) for _ in range(rng.randrange(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (62, "the"), (63, "x x x")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    got = frame.select(F.col("id").alias("key"), F.inline(lexical.gathered(lexical.terms(F.col("text")))))
+    as_set = lambda df: sorted((r["term"], r["key"], tuple(r["places"])) for r in df.select("term", "key", "places").collect())
+    assert as_set(got) == as_set(lexical.postings(frame)) and ("x", 63, (0, 1, 2)) in as_set(got)
+    assert exchanges(got) == 0
+
+
+def test_stems_are_dealt_once(spark):
+    rows = spark.createDataFrame([("doors", 1, [0]), ("door", 1, [4]), ("door", 2, [1]), ("open", 1, [2])], "term string, key long, places array<int>")
+    made = term_index.stemmed(rows)
+    assert sorted((r["term"], r["key"], r["places"]) for r in made.collect()) == [("door", 1, [0, 4]), ("door", 2, [1]), ("open", 1, [2])]
+    assert exchanges(made) == 1
+
+
+def test_repeated_ids_are_one_row(spark, tmp_path):
+    """Rows of one id share their postings and windows, as SQL counts them."""
+    from lexatlas.plans import workload
+
+    spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, "a"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["term"], r["key"]): r["places"] for r in workload.index_of(spark, str(tmp_path)).collect()}
+    assert got == {("a", 1): [0, 2], ("b", 1): [0, 1], ("c", 1): [1], ("a", 2): [0]}
+    assert sorted(map(tuple, workload.naive_windows(spark, str(tmp_path)).collect())) == [(1, 0, 5), (2, 0, 1)]
+
+
+def test_maxima_are_dealt_once(spark, indexed, tmp_path):
+    _, post, index = indexed
+    want = post.groupBy("term", F.floor(F.col("key") / 100).alias("range")).agg(F.max(F.size("places")).alias("best"), F.count("*").alias("rows"))
+    as_set = lambda df: sorted(map(tuple, df.select("term", "range", "best", "rows").collect()))
+    assert as_set(index.maxima) == as_set(want)
