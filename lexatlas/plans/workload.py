@@ -451,8 +451,9 @@ def ancestors_recursive(spark, sf):  # noqa: ANN001, ANN201
 
 
 def _ordered(spark, sf):  # noqa: ANN001, ANN202
-    s = sections(spark, sf)
-    return s.select("id", "number", "title", "depth", F.col("document_id").cast("string").alias("document"), F.row_number().over(W.partitionBy("document_id").orderBy("number_norm")).alias("ord"))
+    """Sections with their places, which go on from document to document: numbered by ranges, since the five documents hold all rows."""
+    s = sections(spark, sf).select("id", "number", "title", "depth", F.col("document_id").cast("string").alias("document"), "number_norm")
+    return store.numbered(s, ["document", "number_norm"], 0, "ord").drop("number_norm")
 
 
 @query(TREE + ", p AS (SELECT s.id, CASE s.depth WHEN 0 THEN s.number || ' ' || s.title WHEN 1 THEN p1.number || ' ' || p1.title || ' > ' || s.number || ' ' || s.title WHEN 2 THEN p2.number || ' ' || p2.title || ' > ' || p1.number || ' ' || p1.title || ' > ' || s.number || ' ' || s.title ELSE p3.number || ' ' || p3.title || ' > ' || p2.number || ' ' || p2.title || ' > ' || p1.number || ' ' || p1.title || ' > ' || s.number || ' ' || s.title END AS path FROM s LEFT JOIN s p1 ON p1.id = s.parent_id LEFT JOIN s p2 ON p2.id = p1.parent_id LEFT JOIN s p3 ON p3.id = p2.parent_id) SELECT id, path FROM p")

@@ -42,3 +42,14 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "score"]
+
+
+def test_places_by_ranges(spark):
+    """Sections get their places within ranges: no window holds a whole document, and order within each stays."""
+    from lexatlas.plans import workload
+
+    made = workload._ordered(spark, SF)
+    assert "windowspecdefinition(document" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = made.join(workload.sections(spark, SF).select("id", "number_norm"), "id").select("document", "ord", "number_norm").collect()
+    assert sorted(r["ord"] for r in rows) == list(range(1, len(rows) + 1))
+    assert [r["ord"] for r in sorted(rows, key=lambda r: (r["document"], r["number_norm"]))] == list(range(1, len(rows) + 1))
