@@ -15,10 +15,11 @@ SECTION = r"(?i)^SECTION\s+(?:[A-Z]{1,3}\s+)?(\d{3,4})\b\s*(.*?)\s*$"
 CAPTION = r"(?i)^TABLE\s+(\d{3,4}(?:\.\d+)*)\s*(.*?)\s*$"
 NUMBERED = r"^(\d{3,4}(?:\.\d+)*)\s+([A-Z][^.]{2,120}?)\.?\s*$"
 INLINE = r"^(\d{3,4}(?:\.\d+)*)\s+([A-Z][^.]{2,120}?)\.\s*([A-Z(\"“].*)$"
+FORMS = (SECTION, CAPTION, NUMBERED, INLINE)
 RULE = r"^(4101:\d{1,2}-\d{1,2}-\d{2})\s+(.+?)\s*$"
 INSTRUCTION = r"(?is)^\(([A-Z]{1,2})\)\s*(.*?(?:Sections?|Tables?|Chapters?)\s*(\d{1,4}(?:\.\d+)*).*)$"
 PLAIN = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*?)\s*$"
-DEFINITIONS = {"code": r"(?i)\bDEFINITIONS?\b", "rules": r"(?i)\bDEFINITIONS?\b", "plain": r"(?i)\b(definitions?|glossary|terms)\b"}
+DEFINITIONS = {"code": r"(?i)\bDEFINITIONS?\b", "long": r"(?i)\bDEFINITIONS?\b", "rules": r"(?i)\bDEFINITIONS?\b", "plain": r"(?i)\b(definitions?|glossary|terms)\b"}
 
 HEADING = "struct<number:string,title:string,depth:int,kind:string,remainder:string,supersedes:string,alias:string>"
 
@@ -36,23 +37,29 @@ def _first(*cases: tuple[Column, Column]) -> Column:
     return out
 
 
-def numbered_code(kind: Column, text: Column, level: Column, ord_: Column) -> Column:
+def numbered_code(kind: Column, text: Column, level: Column, ord_: Column, digits: str = "3,4") -> Column:
     """Chapters and sections on headings, table captions on headings and paragraphs, numbered titles, and numbers with a
-    title that lead into prose on any block but tables."""
+    title that lead into prose on any block but tables. Numbers begin with so many ``digits``."""
     t = F.trim(text)
+    section, caption, numbered, inline = (p.replace("{3,4}", f"{{{digits}}}") for p in FORMS)
     part = lambda p, i: F.regexp_extract(t, p, i)
     head = kind == "heading"
     number = lambda p: dotted_depth(part(p, 1))
     return _first(
         (kind == "table", F.lit(None).cast(HEADING)),
         (head & t.rlike(CHAPTER), _heading(part(CHAPTER, 1), title_case(part(CHAPTER, 2)), F.lit(0))),
-        (head & t.rlike(SECTION), _heading(part(SECTION, 1), title_case(part(SECTION, 2)), F.lit(1))),
-        (kind.isin("heading", "paragraph") & t.rlike(CAPTION), _heading(part(CAPTION, 1), title_case(part(CAPTION, 2)), number(CAPTION), "table-caption")),
-        (head & t.rlike(NUMBERED), _heading(part(NUMBERED, 1), F.trim(part(NUMBERED, 2)), number(NUMBERED))),
-        (t.rlike(INLINE), _heading(part(INLINE, 1), F.trim(part(INLINE, 2)), number(INLINE), remainder=part(INLINE, 3))),
+        (head & t.rlike(section), _heading(part(section, 1), title_case(part(section, 2)), F.lit(1))),
+        (kind.isin("heading", "paragraph") & t.rlike(caption), _heading(part(caption, 1), title_case(part(caption, 2)), number(caption), "table-caption")),
+        (head & t.rlike(numbered), _heading(part(numbered, 1), F.trim(part(numbered, 2)), number(numbered))),
+        (t.rlike(inline), _heading(part(inline, 1), F.trim(part(inline, 2)), number(inline), remainder=part(inline, 3))),
     )
 
 
+def long_code(kind: Column, text: Column, level: Column, ord_: Column) -> Column:
+    """The numbered code's forms with numbers of three digits or more, for documents of very many sections."""
+    return numbered_code(kind, text, level, ord_, "3,")
+
+
 def rule_code(kind: Column, text: Column, level: Column, ord_: Column) -> Column:
     """Rules, amending instructions under them, and the numbered code's forms, whose sections amend their namesakes."""
     t = F.trim(text)
@@ -76,7 +83,7 @@ def plain(kind: Column, text: Column, level: Column, ord_: Column) -> Column:
     return _first(((kind == "heading") & t.rlike(PLAIN), _heading(number, F.regexp_extract(t, PLAIN, 2), dotted_depth(number))), (kind == "heading", _heading(made, t, deep - 1)))
 
 
-GRAMMARS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {"code": numbered_code, "rules": rule_code, "plain": plain}
+GRAMMARS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {"code": numbered_code, "rules": rule_code, "plain": plain, "long": long_code}
 
 
 def grammar(name: str) -> Callable[[Column, Column, Column, Column], Column]:

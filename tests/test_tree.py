@@ -87,3 +87,30 @@ def test_build_broadcasts_nothing(spark, monkeypatch):
     schema = "document string, ord int, kind string, text string, page int, level int, font_size double, bold boolean"
     assert tree.build(spark.createDataFrame(blocks, schema), "code").count() == 8
     assert len(made) == 5 and not any("BroadcastHashJoin" in p for p in made)
+
+
+def _whole_documents(spark, tmp_path, name):
+    """A query on 9,200 orders of one made-up document, so that its numbers get five digits, as rows with those of its SQL."""
+    import __spark_entry__ as entry
+
+    orders = spark.range(9200).selectExpr("id * 3 AS o_orderkey", "CAST(40 * (id % 3) AS LONG) AS o_custkey").union(spark.range(5).selectExpr("id * 3 + 1", "CAST(7 AS LONG)"))
+    items = spark.range(9190).selectExpr("id * 3 AS l_orderkey", "id % 11 AS l_partkey", "1 AS l_linenumber").union(spark.range(2).selectExpr("9150 * 3 AS l_orderkey", "id AS l_partkey", "2 + CAST(id AS INT)"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = entry.queries()[name](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = [tuple(r) for r in got.select(*want.columns).collect()]
+    assert sorted(rows, key=str) == sorted(want.fetchall(), key=str)
+    return [dict(zip(want.columns, r, strict=True)) for r in rows]
+
+
+def test_tables_of_documents_that_grow(spark, tmp_path):
+    """Documents are whole: the first section has the tables of every fourth order, and numbers of five digits are read."""
+    rows = _whole_documents(spark, tmp_path, "table_attach")
+    assert {r["document"] for r in rows} == {"0", "7"}
+    assert max(r["tables"] for r in rows) == 9200 // 4 and sum(r["tables"] for r in rows) == 9200 // 2 + 2
+    assert "10198" in {r["number"] for r in rows}
